@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with few rows and few bytes of text (or one long row), so that what a task
+    makes of them stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words_ascii_lower(text: bytes) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased; other letters stay."""
     return text.lower().split()

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import slices
+
 _BITS = 21
 
 
@@ -85,7 +87,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
             c.merge()
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(c.keys)), pa.array(c.keys), pa.array(c.counts)], ["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(keys := ngrams(text)):
                     counts.setdefault(lang, _Counts()).add(keys)
@@ -127,7 +129,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        made = [one(t) for t in texts.to_pylist()]
+        made = [one(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())], ["lang", "score"])
 
     return run(F.col(text_col).cast("string"))

@@ -1,95 +1,154 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed byte n-grams are compared: one of the target (documents labelled
-good), one of the raw text (all documents). A document's log weight is the log ratio of its
-probabilities under the two. Gumbel noise is added to the log weights, sharpened by `sharpness`, and the k
-highest keys are drawn: importance resampling without replacement. Unless k is given, it is the number
-of documents more probable under the target than under the raw model.
-
-The target model is fitted on at most `labelled` labelled documents (the first by a hash of the id); raw
-counts, weights and the draw cover all documents. The k-th key is found by counting in bins, not by sorting
-on one machine. The noise depends on the id, the text and the seed only, so reruns agree.
+Two generative models over hashed byte n-grams are compared: of the target (documents labelled good)
+and of the raw text (all documents). Each gives the next byte after the n-1 bytes before it, so the shares of
+languages or topics in the labels don't matter; the target's counts are smoothed by the raw model. A document's
+log weight is the log ratio of its probabilities, per byte, shrunk for short texts. Gumbel noise is added
+to the log weights, sharpened by `sharpness`, and the k highest keys are drawn: importance resampling without
+replacement. Unless k is given, it is the number of documents whose log weight reaches the value that best parts
+labelled good from labelled bad documents.
+
+The target model and that value are fitted on at most `labelled` documents of each label (the first by a hash of the
+id; half of the good ones for the model, the rest for the value). Raw counts, weights and the draw cover all
+documents. The k-th key is found by counting in bins, not by sorting on one machine. The noise depends on the id, the
+text and the seed only, so reruns agree.
 
 A null or empty text has no weight and is rejected. Equal keys at the border are all kept. Repeated rows
-get equal keys. With no labels nothing is learned: every weight is 0 and every document with text is kept.
+get equal keys. Without labelled good documents every weight is 0; without bad ones the value is the least weight of the good ones
+(0 without either).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, materialize
+from tessera.llm.common import as_bytes, materialize, slices
 
 _ORDERS = (3, 5)
 _MIX = np.uint32(0x9E3779B1)  # golden-ratio multiplier of multiplicative hashing
 
 
-def buckets(text: bytes, bits: int) -> list[np.ndarray]:
-    """Hashed n-grams of each order; the orders have buckets of their own."""
+def hashed(text: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every n-gram's context (its first n-1 bytes) and of the n-gram itself."""
     code = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
-    out = []
-    for k, n in enumerate(_ORDERS):
-        if len(code) < n:
-            continue
-        h = code[: len(code) - n + 1].copy()
-        for i in range(1, n):
-            h *= _MIX
-            h += code[i : len(code) - n + 1 + i]
+    m = max(0, len(code) - n + 1)
+    h, shift = code[:m].copy(), np.uint32(32 - bits)
+    for i in range(1, n - 1):
         h *= _MIX
-        out.append((h >> np.uint32(32 - bits)).astype(np.int32) + (k << bits))
-    return out
+        h += code[i : m + i]
+    h *= _MIX
+    context = (h >> shift).astype(np.int32)
+    h += code[n - 1 : m + n - 1]
+    h *= _MIX
+    return context, (h >> shift).astype(np.int32)
 
 
 def bucket_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
-    """Counts of all n-grams by bucket: at most 2 * 2^bits numbers."""
-    size = len(_ORDERS) << bits
+    """Counts by order, context or n-gram, and bucket: a table of bounded size whatever the input."""
+    size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.int64)
-        for batch in batches:
+        counts = np.zeros((len(_ORDERS), 2, size), dtype=np.int64)
+        waiting: list[list[list[np.ndarray]]] = [[[], []] for _ in _ORDERS]
+        held = 0
+
+        def add() -> None:
+            for k in range(len(_ORDERS)):
+                for j in range(2):
+                    if waiting[k][j]:
+                        counts[k, j] += np.bincount(np.concatenate(waiting[k][j]), minlength=size)
+                        waiting[k][j].clear()
+
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for text in as_bytes(batch.column(0)):
-                for b in buckets(text, bits):
-                    if len(b) < size // 8:
-                        np.add.at(counts, b, 1)
-                    else:
-                        counts += np.bincount(b, minlength=size)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
-
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, dtype=np.float64)
-    out[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return out
-
-
-def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 15, labelled: int = 20_000) -> np.ndarray:
-    """The log ratio of each bucket. `good` has the ids of the labelled target documents."""
-    ids = good.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-    target = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")
-    logs = []
-    for counts in (bucket_counts(target, text_col, bits), bucket_counts(docs, text_col, bits)):
-        # Both models are smoothed by the same mass, and each order is a distribution of its own.
-        parts = np.split(counts + 0.5, len(_ORDERS))
-        logs.append(np.concatenate([np.log(p / p.sum()) for p in parts]))
-    return logs[0] - logs[1] if counts.sum() and len(ids.take(1)) else np.zeros(len(_ORDERS) << bits)
-
-
-def log_weight(ratio: np.ndarray, bits: int, text: Column) -> Column:
+                held += len(text)
+                for k, n in enumerate(_ORDERS):
+                    for j, b in enumerate(hashed(text, n, bits)):
+                        waiting[k][j].append(b)
+                if held > 1 << 21:
+                    add()
+                    held = 0
+        add()
+        flat = counts.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["bucket", "n"])
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(_ORDERS) * 2 * size)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(len(_ORDERS), 2, size)
+
+
+@dataclass
+class Ratio:
+    """What a log weight needs, by order and bucket."""
+
+    bits: int
+    share: np.ndarray  # target's count of an n-gram over the raw count
+    raw: np.ndarray  # raw count of a context
+    known: np.ndarray  # log of the target's count of a context and the smoothing
+    smoothing: float
+    shrink: float
+
+    @classmethod
+    def of(cls, target: np.ndarray, raw: np.ndarray, bits: int, smoothing: float, shrink: float) -> Ratio:
+        share = np.divide(target[:, 1], raw[:, 1], out=np.zeros_like(raw[:, 1]), where=raw[:, 1] > 0)
+        return cls(bits, share.astype(np.float32), raw[:, 0].astype(np.float32), np.log(target[:, 0] + smoothing).astype(np.float32), smoothing, shrink)
+
+    def __call__(self, text: bytes) -> float:
+        total = 0.0
+        for k, n in enumerate(_ORDERS):
+            context, gram = hashed(text, n, self.bits)
+            if len(gram):
+                total += float((np.log(self.share[k][gram] * self.raw[k][context] + np.float32(self.smoothing)) - self.known[k][context]).sum(dtype=np.float64))
+        return total / (len(text) + self.shrink)
+
+
+def log_weight(ratio: Ratio, text: Column) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in as_bytes(texts):
-            out.append(float(sum(ratio[b].sum() for b in buckets(t, bits))) if t else None)
-        return pa.array(out, pa.float64())
+        return pa.array([ratio(t) if t else None for t in as_bytes(texts)], pa.float64())
 
     return run(text.cast("string"))
 
 
+def _labelled(labels: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most n labelled ids, a bounded table; `half` parts them in two."""
+    ids = labels.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_h", F.xxhash64("_id"))
+    return ids.orderBy("_h", "_id").limit(n).select("_id", (F.col("_h") % 2 == 0).alias("_half"))
+
+
+def parting(good: np.ndarray, bad: np.ndarray, slack: float = 0.001) -> float:
+    """The least value that keeps good and rejects bad as well as any, within `slack`."""
+    if not len(bad):
+        return float(good.min()) if len(good) else 0.0
+    if not len(good):
+        return float(bad.max())
+    values = np.unique(np.r_[good, bad])
+    merit = 1 - np.searchsorted(np.sort(good), values) / len(good) + np.searchsorted(np.sort(bad), values) / len(bad)
+    return float(values[np.flatnonzero(merit >= merit.max() - slack)[0]])
+
+
+def fit(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 18, smoothing: float = 50.0, shrink: float = 150.0, labelled: int = 10_000) -> tuple[Ratio, float]:
+    """The model, and the log weight that best parts good from bad."""
+    good, bad = _labelled(good, id_col, 2 * labelled), _labelled(bad, id_col, labelled)
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    target = bucket_counts(text.join(F.broadcast(good.where("_half")), "_id", "left_semi"), "_text", bits)
+    ratio = Ratio.of(target, bucket_counts(docs, text_col, bits), bits, smoothing, shrink)
+    seen = []
+    for ids in (good.where("NOT _half"), bad):
+        rows = text.join(F.broadcast(ids), "_id", "left_semi").select(log_weight(ratio, F.col("_text")).alias("w")).where("w IS NOT NULL")
+        # at most `labelled` rows, unless ids repeat; then the first of them by value stand for all
+        seen.append(rows.groupBy("w").count().orderBy("w").limit(2 * labelled).toPandas()["w"].to_numpy(dtype=np.float64))
+    return ratio, parting(*seen)
+
+
 def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
     """The k-th largest of the column v, by counting in ever finer bins."""
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
@@ -114,19 +173,22 @@ def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
         low, high = found[b].lo, found[b].hi
 
 
-def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, sharpness: float = 10.0, seed: int = 42, bits: int = 15, labelled: int = 20_000) -> DataFrame:
-    """docs with the columns log_weight, gumbel_key and kept added."""
-    ratio = fit(docs, good, id_col, text_col, bits, labelled)
+def resample(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, sharpness: float = 1000.0, seed: int = 42, **settings) -> DataFrame:
+    """docs with the columns log_weight, gumbel_key and kept added. `good` and `bad` hold labelled ids."""
+    ratio, value = fit(docs, good, bad, id_col, text_col, **settings)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    scored = docs.withColumn("log_weight", log_weight(ratio, bits, F.col(text_col)))
+    scored = docs.withColumn("log_weight", log_weight(ratio, F.col(text_col)))
     scored = scored.withColumn("gumbel_key", F.lit(sharpness) * F.col("log_weight") - F.log(-F.log(uniform)))
     keys = materialize(scored.select("log_weight", F.col("gumbel_key").alias("v")).where("v IS NOT NULL"))
-    k = keys.where("log_weight >= 0").count() if k is None else k
+    k = keys.where(F.col("log_weight") >= F.lit(value)).count() if k is None else k
     return scored.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(kth_largest(keys, k)), F.lit(False)))
 
 
+def by_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return resample(docs, labels.where("quality = 1"), labels.where("quality = 0"))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import table
 
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return resample(docs, labels.where("quality = 1")).select("doc_id", "log_weight", "gumbel_key", "kept")
+    return by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
