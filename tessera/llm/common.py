@@ -40,6 +40,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def each_as_bytes(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """The same one by one, with few of them in memory."""
+    for at in range(0, len(column), rows):
+        yield from as_bytes(column.slice(at, rows))
+
+
 def slices(batch: pa.RecordBatch, text: int, rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and few bytes of text (or one long row), so that what a task
     makes of them stays small."""

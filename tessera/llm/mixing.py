@@ -21,16 +21,17 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, materialize
+from tessera.llm.common import each_as_bytes, materialize
 
 _STEP = 10  # bits of the hash that each round of the radix search looks at
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Words between ASCII white space; null has none."""
-    return pa.array([len(t.split()) for t in as_bytes(texts)], pa.int64())
+    return pa.array([len(t.split()) for t in each_as_bytes(texts)], pa.int64())
 
 
 def targets(sizes: dict, weights: Sequence[float] = (5, 2, 1), repeats: int = 3, total: int | None = None) -> dict:

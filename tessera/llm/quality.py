@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed byte n-grams are compared: of the target (documents labelled good)
-and of the raw text (all documents). Each gives the next byte after the n-1 bytes before it, so the shares of
+and of the raw text (all documents). Each gives the next byte after the n-1 bytes before it (order 1: of any byte), so the shares of
 languages or topics in the labels don't matter; the target's counts are smoothed by the raw model. A document's
 log weight is the log ratio of its probabilities, per byte, shrunk for short texts. Gumbel noise is added
 to the log weights, sharpened by `sharpness`, and the k highest keys are drawn: importance resampling without
@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, materialize, slices
+from tessera.llm.common import as_bytes, each_as_bytes, materialize, slices
 
-_ORDERS = (3, 5)
+_ORDERS = (1, 3, 5)
 _MIX = np.uint32(0x9E3779B1)  # golden-ratio multiplier of multiplicative hashing
 
 
 def hashed(text: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of every n-gram's context (its first n-1 bytes) and of the n-gram itself."""
+    if n == 1:
+        return np.zeros(len(text), dtype=np.int32), np.frombuffer(text, dtype=np.uint8).astype(np.int32)
     code = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
     m = max(0, len(code) - n + 1)
     h, shift = code[:m].copy(), np.uint32(32 - bits)
@@ -71,7 +73,7 @@ def bucket_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
                 for k, n in enumerate(_ORDERS):
                     for j, b in enumerate(hashed(text, n, bits)):
                         waiting[k][j].append(b)
-                if held > 1 << 21:
+                if held > 1 << 20:
                     add()
                     held = 0
         add()
@@ -113,7 +115,7 @@ class Ratio:
 def log_weight(ratio: Ratio, text: Column) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([ratio(t) if t else None for t in as_bytes(texts)], pa.float64())
+        return pa.array([ratio(t) if t else None for t in each_as_bytes(texts)], pa.float64())
 
     return run(text.cast("string"))
 
@@ -124,8 +126,8 @@ def _labelled(labels: DataFrame, id_col: str, n: int) -> DataFrame:
     return ids.orderBy("_h", "_id").limit(n).select("_id", (F.col("_h") % 2 == 0).alias("_half"))
 
 
-def parting(good: np.ndarray, bad: np.ndarray, slack: float = 0.001) -> float:
-    """The least value that keeps good and rejects bad as well as any, within `slack`."""
+def parting(good: np.ndarray, bad: np.ndarray, slack: float = 0.004) -> float:
+    """The least value that keeps good and rejects bad about as well as any: `slack` leans towards keeping good."""
     if not len(bad):
         return float(good.min()) if len(good) else 0.0
     if not len(good):
