@@ -1,7 +1,7 @@
 """Filter documents as one boolean column.
 
-Every leaf predicate is TRUE or FALSE, never NULL, so `$not`, `$nor` and `$ne` are plain negations: a missing
-field matches `$ne` and `$nin`, and no comparison. Values compare within their bracket only (number, string,
+What is negated is TRUE or FALSE, never NULL, so a missing field matches `$ne`, `$nin` and `$not`, and no
+comparison; elsewhere leaf predicates stay plain, so that the scan can use them. Values compare within their bracket only (number, string,
 boolean, date), without coercion. Unknown operators raise; a condition that is an object, array or date compares as a whole.
 """
 
@@ -53,7 +53,19 @@ def literal(value: object) -> Column:
 class FilterCompiler:
     def __init__(self, fields: Fields, expression=None, text=None) -> None:
         """expression: compiles `$expr`; text: gives the column for `$text`."""
-        self.fields, self.expression, self.text = fields, expression, text
+        self.fields, self.expression, self.text, self.strict = fields, expression, text, False
+
+    def _true(self, c: Column) -> Column:
+        """NULL counts as false. Outside negations a filter does that by itself, and a plain predicate reaches the scan."""
+        return true(c) if self.strict else c
+
+    def _strictly(self, make, *args) -> Column:
+        """A predicate that is never NULL, to be negated."""
+        before, self.strict = self.strict, True
+        try:
+            return make(*args)
+        finally:
+            self.strict = before
 
     def compile(self, query: dict) -> Column:
         parts = [self._entry(k, v) for k, v in query.items()]
@@ -63,15 +75,14 @@ class FilterCompiler:
         if key in ("$and", "$or", "$nor"):
             if not isinstance(value, (list, tuple)):
                 raise ValueError(f"{key} takes a list")
+            if key == "$nor":
+                return ~reduce(or_, [self._strictly(self.compile, v) for v in value], F.lit(False))
             parts = [self.compile(v) for v in value]
-            if key == "$and":
-                return reduce(and_, parts, F.lit(True))
-            some = reduce(or_, parts, F.lit(False))
-            return ~some if key == "$nor" else some
+            return reduce(and_, parts, F.lit(True)) if key == "$and" else reduce(or_, parts, F.lit(False))
         if key == "$expr":
             if self.expression is None:
                 raise ValueError("$expr is not available here")
-            return true(self.expression(value).cast("boolean"))
+            return self._true(self.expression(value).cast("boolean"))
         if key == "$text":
             if self.text is None:
                 raise ValueError("$text needs a text index: use search")
@@ -90,7 +101,7 @@ class FilterCompiler:
     def _operators(self, path: str, ops: dict) -> Column:
         parts = []
         if geo_ops := {k: v for k, v in ops.items() if k in _GEO}:
-            parts.append(true(geo.matches(self.fields, path, geo_ops)))
+            parts.append(self._true(geo.matches(self.fields, path, geo_ops)))
         for op, value in ops.items():
             if op in _GEO or op == "$options":
                 continue
@@ -101,14 +112,13 @@ class FilterCompiler:
         if op == "$eq":
             return self._equal(path, value)
         if op == "$ne":
-            return ~self._equal(path, value)
+            return ~self._strictly(self._equal, path, value)
         if op in _RANGE:
             return self._compare(path, _RANGE[op], value)
         if op in ("$in", "$nin"):
             if not isinstance(value, (list, tuple)):
                 raise ValueError(f"{op} takes a list")
-            found = self._in(path, list(value))
-            return ~found if op == "$nin" else found
+            return ~self._strictly(self._in, path, list(value)) if op == "$nin" else self._in(path, list(value))
         if op == "$exists":
             there = self.fields.exists(path)
             return there if value else ~there
@@ -116,17 +126,17 @@ class FilterCompiler:
             return self._regex(path, value, str(ops.get("$options", "")))
         if op == "$not":
             if isinstance(value, re.Pattern):
-                return ~self._regex(path, value, "")
-            return ~self._operators(path, value)
+                return ~self._strictly(self._regex, path, value, "")
+            return ~self._strictly(self._operators, path, value)
         if op == "$all":
             return reduce(and_, [self._contains(path, v) for v in value], F.lit(bool(value)))
         if op == "$size":
-            return true(F.when(self._is(path, "array"), self._size(path) == value))
+            return self._true(F.when(self._is(path, "array"), self._size(path) == value))
         if op == "$type":
             return self._type(path, value)
         if op == "$mod":
             divisor, rest = value
-            return true(self._numeric(path) % F.lit(divisor) == F.lit(rest))
+            return self._true(self._numeric(path) % F.lit(divisor) == F.lit(rest))
         if op == "$elemMatch":
             return self._elem_match(path, value)
         raise ValueError(f"unknown operator {op}")
@@ -136,11 +146,11 @@ class FilterCompiler:
             names = {"number": ["BIGINT", "DOUBLE", "FLOAT"], "string": ["STRING"], "boolean": ["BOOLEAN"], "date": ["DATE", "TIMESTAMP"]}
             kind = F.schema_of_variant(self.fields.col(path))
             if bracket == "array":
-                return true(kind.startswith("ARRAY"))
+                return self._true(kind.startswith("ARRAY"))
             if bracket == "object":
-                return true(kind.startswith("OBJECT"))
+                return self._true(kind.startswith("OBJECT"))
             numeric = kind.startswith("DECIMAL") if bracket == "number" else F.lit(False)
-            return true(kind.isin(names.get(bracket, [])) | numeric)
+            return self._true(kind.isin(names.get(bracket, [])) | numeric)
         kind = self.fields.type_of(path)
         return F.lit(kind is not None and kind_of(kind) == bracket)
 
@@ -162,24 +172,24 @@ class FilterCompiler:
         if value is None:
             col = self.fields.col(path)
             if self.fields.in_variant(path):
-                return true(F.is_variant_null(col))
+                return self._true(F.is_variant_null(col))
             return col.isNull()
         if isinstance(value, re.Pattern):
             return self._regex(path, value, "")
         if self.fields.in_variant(path) and isinstance(value, (dict, list, tuple)):
             import json
 
-            return true(F.to_json(self.fields.col(path)) == F.to_json(F.parse_json(F.lit(json.dumps(value)))))
+            return self._true(F.to_json(self.fields.col(path)) == F.to_json(F.parse_json(F.lit(json.dumps(value)))))
         col = self._value(path, value)
         kind = self.fields.type_of(path)
         if isinstance(value, (dict, list, tuple)) and kind is not None:
-            return true(col == literal(value).cast(kind)) if kind_of(kind) == _bracket(value) else F.lit(False)
-        return true(col == F.lit(value))
+            return self._true(col == literal(value).cast(kind)) if kind_of(kind) == _bracket(value) else F.lit(False)
+        return self._true(col == F.lit(value))
 
     def _compare(self, path: str, method: str, value: object) -> Column:
         if _bracket(value) in ("array", "object") or value is None:
             return F.lit(False)
-        return true(getattr(self._value(path, value), method)(F.lit(value)))
+        return self._true(getattr(self._value(path, value), method)(F.lit(value)))
 
     def _in(self, path: str, values: list) -> Column:
         plain = [v for v in values if v is not None and not isinstance(v, (dict, list, tuple, re.Pattern))]
@@ -187,7 +197,7 @@ class FilterCompiler:
         for bracket in dict.fromkeys(map(_bracket, plain)):
             some = [v for v in plain if _bracket(v) == bracket]
             col = self._value(path, some[0])
-            out = out | true(col.isin(some))
+            out = out | self._true(col.isin(some))
         for v in values:
             if v is None or isinstance(v, (dict, list, tuple, re.Pattern)):
                 out = out | self._equal(path, v)
@@ -202,7 +212,7 @@ class FilterCompiler:
         if bad := set(options) - set("imsx"):
             raise ValueError(f"unknown regex options {sorted(bad)}")
         options = "".join(sorted(set(options)))
-        return true(self._value(path, "").rlike(f"(?{options}){pattern}" if options else pattern))
+        return self._true(self._value(path, "").rlike(f"(?{options}){pattern}" if options else pattern))
 
     def _size(self, path: str) -> Column:
         col = self.fields.col(path)
@@ -215,12 +225,12 @@ class FilterCompiler:
         if self.fields.in_variant(path):
             kind = {"number": "array<double>", "string": "array<string>", "boolean": "array<boolean>"}[_bracket(value)]
             array = F.when(self._is(path, "array"), self.fields.variant_value(path, kind))
-            return true(F.array_contains(array, value)) | self._equal(path, value)
+            return self._true(F.array_contains(array, value)) | self._equal(path, value)
         kind = self.fields.type_of(path)
         if isinstance(kind, T.ArrayType):
             if kind_of(kind.elementType) != _bracket(value):
                 return F.lit(False)
-            return true(F.array_contains(self.fields.col(path), literal(value).cast(kind.elementType)))
+            return self._true(F.array_contains(self.fields.col(path), literal(value).cast(kind.elementType)))
         return self._equal(path, value)
 
     def _type(self, path: str, value: object) -> Column:
@@ -239,7 +249,7 @@ class FilterCompiler:
         kind = self.fields.type_of(path)
         if not isinstance(kind, T.ArrayType):
             return F.lit(False)
-        return true(F.exists(self.fields.col(path), lambda x: _Element(kind.elementType, x, self).matches(query)))
+        return self._true(F.exists(self.fields.col(path), lambda x: _Element(kind.elementType, x, self).matches(query)))
 
 
 class _Element(Fields):

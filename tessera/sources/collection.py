@@ -82,6 +82,10 @@ class Collection:
 
     def _append(self, rows: DataFrame, op: str) -> None:
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        if (log := self.log()) is not None:
+            # A field keeps the type of its first write; a value that doesn't fit it raises.
+            kinds = {f.name: f.dataType for f in log.schema.fields}
+            rows = rows.select(*[F.col(f"`{c}`").cast(kinds[c]) if c in kinds else F.col(f"`{c}`") for c in rows.columns])
         rows = rows.withColumns({"_seq": F.lit(self._next_seq()).cast("long"), "_op": F.lit(op), "_ts": F.lit(now).cast("timestamp")})
         rows.write.mode("append").parquet(self.path)
 
