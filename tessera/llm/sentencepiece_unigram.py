@@ -150,15 +150,15 @@ class DoubleArray:
 class Unigram:
     """Encoder and decoder of one vocabulary; sent to the tasks whole (a vocabulary's size is bounded)."""
 
-    def __init__(self, data: bytes, remember: int = 400_000) -> None:
+    def __init__(self, data: bytes, remember: int = 200_000) -> None:
         pieces, kind = read_model(data)
         self.pieces, self.remember = pieces, remember
         scores = np.array([s for _, s, _ in pieces], dtype=np.float64)
         usable = [i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER_DEFINED) and p]
         if kind != UNIGRAM:
             scores[usable] = zipf(-np.minimum(scores[usable], 0))
-        self.scores = scores.astype(np.float32).astype(np.float64)
-        self.unknown = float(self.scores[usable].min()) - _UNKNOWN_PENALTY
+        self.scores = scores.astype(np.float32)
+        self.unknown = np.float32(self.scores[usable].min() - np.float32(_UNKNOWN_PENALTY))
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unk_id = next((i for i, (_, _, k) in enumerate(pieces) if k == 2), 0)
         self.trie = DoubleArray.build({pieces[i][0]: i for i in usable})
@@ -176,7 +176,7 @@ class Unigram:
         get = t.codes.get
         for r, w in enumerate(words):
             code[r, : len(w)] = [get(c, 0) for c in w]
-        best = np.full((len(words), width + 1), -np.inf)
+        best = np.full((len(words), width + 1), -np.inf, np.float32)  # sums as single floats, as in SentencePiece
         best[:, 0] = 0
         came, piece = np.zeros((len(words), width + 1), np.int32), np.full((len(words), width + 1), -1, np.int32)
         for i in range(width):
@@ -244,6 +244,11 @@ class Unigram:
         known = self._known
         return [np.frombuffer(b"".join([known[w] for w in words]), dtype="<i4") for words in cut]
 
+    def forget(self) -> None:
+        """Frees the words found so far; a Python worker may idle for long with them."""
+        self._known = {}
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: np.ndarray) -> str:
         raw = self._raw
         text = b"".join([raw[i] for i in ids.tolist()])
@@ -269,7 +274,7 @@ def tokenize(docs: DataFrame, model: Unigram, text_col: str = "text") -> DataFra
     @F.arrow_udf("struct<ids:array<int>,n_tokens:int,n_bytes:int,decoded_ok:boolean>")
     def run(texts: pa.Array) -> pa.Array:
         m, all_ids, sizes, falls, same = shared.value, [], [], [], []
-        step = 500
+        step = 250
         for at in range(0, len(texts), step):
             some = texts[at : at + step].to_pylist()
             for text, ids in zip(some, m.encode_batch(some)):
@@ -277,6 +282,7 @@ def tokenize(docs: DataFrame, model: Unigram, text_col: str = "text") -> DataFra
                 sizes.append(len(ids))
                 falls.append(int(is_byte[ids].sum()))
                 same.append(m.decode(ids) == (text or ""))
+        m.forget()
         flat = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), pa.int32())
         ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
         return pa.StructArray.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(falls, pa.int32()), pa.array(same)], ["ids", "n_tokens", "n_bytes", "decoded_ok"])
