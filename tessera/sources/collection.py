@@ -13,9 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.expressions import Expressions
-from tessera.functions.fields import Fields
-from tessera.functions.filters import compile_filter
 from tessera.functions.updates import apply_update, upsert_document
 from tessera.operators import versioned
 from tessera.plans import pipeline
