@@ -163,7 +163,10 @@ def _tile_links(classes: DataFrame, group: str | None, radius: int, similarity:
     level = F.when(F.col("n") <= 0, -1).otherwise(F.floor(F.log("n") / math.log(1 / similarity) + 1e-9)).cast("int")
     rows = classes.withColumn("level", level).withColumn("grp", F.col(group) if group else F.lit(0).cast("long"))
     sizes = rows.groupBy("grp", "level").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"))
-    rows = rows.join(sizes, ["grp", "level"]).withColumn("tile", F.expr("cast(pmod(hash(cid, 3), tiles) as int)"))
+    # Without groups there are only as many sizes as size steps; with them the join may be large, and a large group's
+    # rows must leave its partition again, tile by tile.
+    rows = rows.join(sizes if group else F.broadcast(sizes), ["grp", "level"]).withColumn("tile", F.expr("cast(pmod(hash(cid, 3), tiles) as int)"))
+    rows = rows.repartition("grp", "level", "tile") if group else rows
     tiles = materialize(rows.groupBy("grp", "level", "tile").agg(F.collect_list(F.struct(*columns)).alias("rows")))
     # A tile meets those of its own size step with a number not below its own, and all of the next step.
     own = sizes.select("grp", F.col("level").alias("meets"), F.col("tiles"))
