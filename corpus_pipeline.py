@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them."""
-    return sentencepiece_unigram.tokenize(docs, sentencepiece_unigram.load(spark)).select("doc_id", "lang", "source", "sp.*")
+    return sentencepiece_unigram.tokenize(docs.drop("n_chars"), sentencepiece_unigram.load(spark))
 
 
 STAGES = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,28 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = 500, size: int = 1 << 2
         at = to
 
 
+def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True) -> DataFrame:
+    """df with columns made from its text, which goes to `make` a batch at a time."""
+    from pyspark.sql import types as T
+
+    df = df.withColumn("_text", F.col(text_col).cast("string"))
+    kept = [c for c in df.columns if c != "_text" and (keep_text or c != text_col)]
+    names = [f.name for f in T._parse_datatype_string(added).fields]
+    rows = df.select("_text", *[F.col(f"`{c}`") for c in kept if c != text_col or df.schema[c].dataType != T.StringType()])
+    same = keep_text and text_col not in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            if same:
+                columns[text_col] = columns["_text"]
+            made = dict(zip(names, make(columns["_text"])))
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in kept), *made.values()], [*kept, *names])
+
+    schema = T.StructType([df.schema[c] for c in kept] + T._parse_datatype_string(added).fields)
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+
+
 def words_ascii_lower(text: bytes) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased; other letters stay."""
     return text.lower().split()

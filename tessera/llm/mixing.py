@@ -18,20 +18,17 @@ import itertools
 import json
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import each_as_bytes, materialize
+from tessera.llm.common import materialize
 
 _STEP = 10  # bits of the hash that each round of the radix search looks at
 
 
-@F.arrow_udf(T.LongType())
-def word_count(texts: pa.Array) -> pa.Array:
+def word_count(text: Column) -> Column:
     """Words between ASCII white space; null has none."""
-    return pa.array([len(t.split()) for t in each_as_bytes(texts)], pa.int64())
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict, weights: Sequence[float] = (5, 2, 1), repeats: int = 3, total: int | None = None) -> dict:
@@ -134,7 +131,7 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     `members` is an array column: the sources to which a document belongs.
     """
     spark = docs.sparkSession
-    size = F.coalesce(word_count(F.col(text_col).cast("string")), F.lit(0)).alias("size")
+    size = word_count(F.col(text_col).cast("string")).alias("size")
     pattern = F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"}).alias("pattern")
     order = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 1).alias("order")
     rows = materialize(docs.select(pattern, size, order))

@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, each_as_bytes, materialize, slices
+from tessera.llm.common import as_bytes, each_as_bytes, map_text, materialize, slices
 
 _ORDERS = (1, 3, 5)
 _MIX = np.uint32(0x9E3779B1)  # golden-ratio multiplier of multiplicative hashing
@@ -112,12 +112,9 @@ class Ratio:
         return total / (len(text) + self.shrink)
 
 
-def log_weight(ratio: Ratio, text: Column) -> Column:
-    @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([ratio(t) if t else None for t in each_as_bytes(texts)], pa.float64())
-
-    return run(text.cast("string"))
+def with_log_weight(docs: DataFrame, ratio: Ratio, text_col: str) -> DataFrame:
+    """docs with the column log_weight; NULL for a null or empty text."""
+    return map_text(docs, text_col, "log_weight double", lambda texts: [pa.array([ratio(t) if t else None for t in each_as_bytes(texts)], pa.float64())])
 
 
 def _labelled(labels: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -145,7 +142,8 @@ def fit(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id"
     ratio = Ratio.of(target, bucket_counts(docs, text_col, bits), bits, smoothing, shrink)
     seen = []
     for ids in (good.where("NOT _half"), bad):
-        rows = text.join(F.broadcast(ids), "_id", "left_semi").select(log_weight(ratio, F.col("_text")).alias("w")).where("w IS NOT NULL")
+        rows = text.join(F.broadcast(ids), "_id", "left_semi").select(F.col("_text").alias("text"))
+        rows = with_log_weight(rows, ratio, "text").select(F.col("log_weight").alias("w")).where("w IS NOT NULL")
         # at most `labelled` rows, unless ids repeat; then the first of them by value stand for all
         seen.append(rows.groupBy("w").count().orderBy("w").limit(2 * labelled).toPandas()["w"].to_numpy(dtype=np.float64))
     return ratio, parting(*seen)
@@ -179,7 +177,7 @@ def resample(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "do
     """docs with the columns log_weight, gumbel_key and kept added. `good` and `bad` hold labelled ids."""
     ratio, value = fit(docs, good, bad, id_col, text_col, **settings)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    scored = docs.withColumn("log_weight", log_weight(ratio, F.col(text_col)))
+    scored = with_log_weight(docs, ratio, text_col)
     scored = scored.withColumn("gumbel_key", F.lit(sharpness) * F.col("log_weight") - F.log(-F.log(uniform)))
     keys = materialize(scored.select("log_weight", F.col("gumbel_key").alias("v")).where("v IS NOT NULL"))
     k = keys.where(F.col("log_weight") >= F.lit(value)).count() if k is None else k

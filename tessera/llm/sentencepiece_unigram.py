@@ -23,7 +23,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tessera.llm.common import map_text
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -266,17 +267,15 @@ def load(spark, path: str = DEFAULT_MODEL) -> Unigram:
 
 
 def tokenize(docs: DataFrame, model: Unigram, text_col: str = "text") -> DataFrame:
-    """docs with the struct column `sp` added: ids, n_tokens, n_bytes (tokens of the byte fallback) and decoded_ok."""
+    """docs without the text, with ids, n_tokens, n_bytes (tokens of the byte fallback) and decoded_ok."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     is_byte = np.zeros(len(model.pieces) + 1, bool)
     is_byte[list(model.byte_ids.values())] = True
 
-    @F.arrow_udf("struct<ids:array<int>,n_tokens:int,n_bytes:int,decoded_ok:boolean>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> list[pa.Array]:
         m, all_ids, sizes, falls, same = shared.value, [], [], [], []
-        step = 250
-        for at in range(0, len(texts), step):
-            some = texts[at : at + step].to_pylist()
+        for at in range(0, len(texts), 250):
+            some = texts[at : at + 250].to_pylist()
             for text, ids in zip(some, m.encode_batch(some)):
                 all_ids.append(ids)
                 sizes.append(len(ids))
@@ -285,12 +284,12 @@ def tokenize(docs: DataFrame, model: Unigram, text_col: str = "text") -> DataFra
         m.forget()
         flat = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), pa.int32())
         ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
-        return pa.StructArray.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(falls, pa.int32()), pa.array(same)], ["ids", "n_tokens", "n_bytes", "decoded_ok"])
+        return [ids, pa.array(sizes, pa.int32()), pa.array(falls, pa.int32()), pa.array(same, pa.bool_())]
 
-    return docs.withColumn("sp", run(F.col(text_col).cast("string")))
+    return map_text(docs, text_col, "ids array<int>, n_tokens int, n_bytes int, decoded_ok boolean", run, keep_text=False)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import table
 
-    return tokenize(table(spark, sf_dir, "documents"), load(spark)).select("doc_id", "sp.*")
+    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), load(spark))

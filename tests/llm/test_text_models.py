@@ -261,9 +261,11 @@ def test_double_array_holds_every_word():
 
 def test_tokenize(spark, docs, no_docs, unigram):
     model = sp.Unigram(open(unigram, "rb").read())
-    out = sp.tokenize(docs, model).select("text", "sp.*").collect()
+    again = sp.tokenize(docs.withColumn("copy", F.col("text")), model)
+    assert again.columns == [c for c in docs.columns if c != "text"] + ["copy", "ids", "n_tokens", "n_bytes", "decoded_ok"]
+    out = again.collect()
     assert len(out) == docs.count() and all(r.decoded_ok for r in out)
-    assert all(r.n_tokens == len(r.ids) and (r.n_tokens > 0) == bool(r.text) for r in out)
-    assert not sp.tokenize(spark.createDataFrame([("a▁b",)], "text string"), model).first().sp.decoded_ok
+    assert all(r.n_tokens == len(r.ids) and (r.n_tokens > 0) == bool(r["copy"]) for r in out)
+    assert not sp.tokenize(spark.createDataFrame([("a▁b",)], "text string"), model).first().decoded_ok
     assert sp.tokenize(no_docs, model).count() == 0
     assert sp.load(spark, f"file://{unigram}").pieces == model.pieces
