@@ -2,15 +2,17 @@
 
 Fixed patterns with their checks (octets, digits, Luhn) give the base spans, which always stay. Generators
 with high recall propose further, overlapping candidates: addresses written with (at) and (dot), digit groups
-with any separators, dotted quads. Each candidate has a few small-valued features of its format and of the text
-before it. Their values are counted over all documents into one small table (a cell for each combination), with
-the share of candidates that hold a base span as weak label; the trees are boosted on that table, so
-training sees every document and only the table reaches the driver. Each leaf sum's probability is calibrated
+with any separators, runs of 13 to 19 digits, dotted quads. Each candidate has a few small-valued features of its
+format and of the text around it. Their values are counted over all documents into one small table (a cell for each
+combination), with the share of candidates with a weak label; the trees are boosted on that table, so
+training sees every document and only the table reaches the driver. The label doesn't stop where the base patterns
+do: a candidate has it if it touches a base span or passes the same checks once normalised (an address with (at)
+and (dot) rewritten, Luhn at 13 to 19 digits, 7 to 15 digits written as a national number or after a cue word). Each leaf sum's probability is calibrated
 on the table as well, and the threshold is the least one whose precision reaches `precision`. Trees are evaluated as
 nested CASE expressions. Selected candidates are reported as kind `pii`.
 
 A null text counts as empty. Repeated rows give equal rows and count each time in training. A null id keeps its
-row; extra columns are ignored. With no candidate, or labels of one kind only, nothing is added.
+row; extra columns are ignored. With no candidate, or none with a label, nothing is added.
 """
 
 from __future__ import annotations
@@ -33,15 +35,25 @@ _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][
 
 # Generators of candidates.
 LOOSE_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+"
-NUMBERS = r"\+?(?<![0-9])[0-9](?:[\x20().-]{0,3}+[0-9]){6,}+"
+NUMBERS = r"\+?(?:\((?=[0-9]{2,4}\)))?(?<![0-9])[0-9](?:[\x20().-]{0,3}+[0-9]){6,}+"
 GENERATORS = (("loose_email", LOOSE_EMAIL), ("numbers", NUMBERS))
 _BEFORE = 24  # characters of context
+_ADDRESS = r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$"
+_QUAD = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
+_NATIONAL = r"^(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}$"
+# Words for a telephone with no digits between them and the number.
+_CALL = r"(?i)(?<![\p{L}])(?:(?:tele?|mobile\x20?|cell\x20?)?(?:phone|fax)|tel|telefon|telefono|teléfono|téléphone|tlf|call|mobile|móvil|cell|contact|whatsapp)(?![\p{L}])[^0-9\n]*$"
 
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _address(hit: Column) -> Column:
+    """A loose address as it would be written plainly."""
+    return F.regexp_replace(F.regexp_replace(hit, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
 
@@ -71,28 +83,39 @@ def _located(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 #: Each feature's number of values.
-FEATURES = {"at": 3, "digits": 6, "groups": 4, "plus": 2, "parens": 2, "dots": 3, "dashes": 2, "word_before": 2, "cue": 2, "letters": 2, "checksum": 2}
+FEATURES = {"at": 3, "digits": 7, "groups": 4, "plus": 2, "parens": 2, "dots": 3, "dashes": 2, "glued": 2, "cue": 3, "letters": 2, "checksum": 2, "national": 2}
 
 
-def _features(t: Column, before: Column) -> dict[str, Column]:
+def _features(t: Column, before: Column, after: Column) -> dict[str, Column]:
     hit = t["hit"]
     n = F.char_length(_digits(hit))
     count = lambda pattern: F.size(F.regexp_extract_all(hit, F.lit(pattern), F.lit(0)))
     return {
         "at": F.when(hit.contains("@"), 1).when(hit.rlike(r"[(\[]at[)\]]"), 2).otherwise(0),
-        "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 16, 3).when(n < 20, 4).otherwise(5),
+        "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 13, 3).when(n < 16, 4).when(n < 20, 5).otherwise(6),
         "groups": F.least(F.lit(3), F.greatest(F.lit(0), count("[0-9]+") - 1)),
         "plus": hit.startswith("+").cast("int"),
         "parens": hit.contains("(").cast("int"),
-        "dots": F.when(hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), 2).when(hit.contains("."), 1).otherwise(0),
+        # Of an address the dots of its host count, however they are written.
+        "dots": F.when(hit.rlike(_QUAD), 2).when(hit.rlike("[A-Za-z@]"), _address(hit).rlike(_ADDRESS).cast("int")).when(hit.contains("."), 1).otherwise(0),
         "dashes": hit.contains("-").cast("int"),
-        "word_before": before.rlike(r"[A-Za-z]$").cast("int"),
-        "cue": before.rlike(r"(?i)(?:mail|phone|tel|call|mobile|card|visa|ip|host|contact|ssn)").cast("int"),
+        "glued": (before.rlike(r"[A-Za-z0-9_]$") | after.rlike(r"^[A-Za-z0-9_]")).cast("int"),
+        "cue": F.when(before.rlike(_CALL), 2).when(before.rlike(r"(?i)(?:mail|phone|tel|call|mobile|card|visa|ip|host|contact|ssn)"), 1).otherwise(0),
         "letters": hit.rlike("[A-Za-z]").cast("int"),
         "checksum": F.when(n.between(13, 19), luhn(_digits(hit)).cast("int")).otherwise(0),
+        "national": hit.rlike(_NATIONAL).cast("int"),
     }
 
 
+def _normal(f: Column) -> Column:
+    """Whether a candidate with these features passes a base check once it is normalised."""
+    number = (f["at"] == 0) & (f["glued"] == 0) & (f["dots"] < 2)
+    address = (f["at"] > 0) & (f["dots"] == 1)
+    card = number & (f["checksum"] == 1)
+    phone = number & f["digits"].between(1, 4) & ((f["national"] == 1) | (f["cue"] == 2))
+    return address | card | phone
+
+
 def boost(cells: np.ndarray, weight: np.ndarray, share: np.ndarray, rounds: int = 24, rate: float = 0.4, depth: int = 3) -> tuple[list, float]:
     """Trees of the log odds on a table of feature cells: (feature, value, left, right) where the feature's
     value is at most that, or a leaf's number. Newton steps on the logistic loss."""
@@ -157,6 +180,8 @@ def _spans(docs: DataFrame, text_col: str) -> DataFrame:
     df = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     for kind, pattern in KINDS:
         df = _located(df, kind, pattern)
+        if kind == "card":
+            df = df.withColumn("runs", F.filter(kind, lambda t: F.char_length(_digits(t["hit"])).between(13, 19)))
         df = df.withColumn(kind, F.filter(kind, _check(kind)))
     for name, pattern in GENERATORS:
         df = _located(df, name, pattern)
@@ -165,15 +190,15 @@ def _spans(docs: DataFrame, text_col: str) -> DataFrame:
         return F.transform(kind, lambda t: F.struct(F.lit(order).alias("order"), t["start"].alias("start"), t["end"].alias("end"), F.lit(kind).alias("kind")))
 
     df = df.withColumn("base_spans", F.sort_array(F.concat(*[of(i, kind) for i, (kind, _) in enumerate(KINDS)])))
-    # A candidate is labelled by whether it holds, or lies in, a base span.
-    df = df.withColumn("candidates", F.array_distinct(F.concat(*[F.col(name) for name, _ in GENERATORS], F.col("ip"))))
+    df = df.withColumn("candidates", F.array_distinct(F.concat(*[F.col(name) for name, _ in GENERATORS], F.col("runs"), F.col("ip"))))
 
     def describe(t: Column) -> Column:
         before = F.substr("_text", F.greatest(F.lit(1), t["start"] + 1 - _BEFORE), F.least(F.lit(_BEFORE), t["start"]))
-        label = F.exists("base_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), label.alias("label"), F.struct(*[c.cast("int").alias(n) for n, c in _features(t, before).items()]).alias("f"))
+        after = F.substr("_text", t["end"] + 1, F.lit(1))
+        base = F.exists("base_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), base.alias("base"), F.struct(*[c.cast("int").alias(n) for n, c in _features(t, before, after).items()]).alias("f"))
 
-    return df.withColumn("candidates", F.transform("candidates", describe)).drop("_text", *[k for k, _ in KINDS], *[k for k, _ in GENERATORS])
+    return df.withColumn("candidates", F.transform("candidates", describe)).drop("_text", "runs", *[k for k, _ in KINDS], *[k for k, _ in GENERATORS])
 
 
 def detect(docs: DataFrame, text_col: str = "text", precision: float = 0.9) -> DataFrame:
@@ -181,13 +206,13 @@ def detect(docs: DataFrame, text_col: str = "text", precision: float = 0.9) -> D
     base spans and the candidates that the trees select."""
     df = _spans(docs, text_col)
     names = list(FEATURES)
-    table = df.select(F.explode("candidates").alias("c")).groupBy("c.f").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("c.label").cast("double")).alias("share")).collect()
+    table = df.select(F.explode("candidates").alias("c")).groupBy("c.f").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("c.base") | _normal(F.col("c.f"))).cast("double")).alias("share")).collect()
     picked = F.expr("cast(array() as array<struct<order:int,start:int,end:int,kind:string>>)")
     if table:
         cells, weight, share = np.array([[r.f[n] for n in names] for r in table]), np.array([r.n for r in table], float), np.array([r.share for r in table])
         trees, base = boost(cells, weight, share)
         cut = threshold(np.array([base + sum(_leaf(t, c) for t in trees) for c in cells]), weight, share, precision)
-        if np.isfinite(cut) and 0 < (weight * share).sum() < weight.sum():
+        if np.isfinite(cut) and (weight * share).sum() > 0:
 
             def scored(c: Column) -> Column:
                 total = F.lit(base)

@@ -1,6 +1,7 @@
 """Secrets and personal data against plain regular expressions."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -79,6 +80,42 @@ def test_redaction(spark):
     assert out == {1: "at [PII] now [PII]"}
 
 
+def test_personal_data_that_no_base_pattern_matches_is_found(spark):
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def card():
+        body = "37" + digits(12)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    planted = {
+        "email": lambda i: f"name{i} (at) host{i % 7} (dot) org",
+        "mixed": lambda i: f"name.{i}@host (dot) org",
+        "phone": lambda i: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "cued": lambda i: digits(7),
+        "card": lambda i: card(),
+    }
+    plain = {
+        "number": lambda i: digits(7 + i % 5),
+        "long": lambda i: next(x for x in iter(lambda: digits(15), "") if not luhn(x)),
+        "after": lambda i: f"{digits(4)}-{digits(4)}",
+        "place": lambda i: f"we.met{i} (at) home",
+        "hex": lambda i: f"{digits(10)}ab",
+    }
+    rows = [(f"{k}{i}", make(i)) for k, make in (planted | plain).items() for i in range(60)]
+    texts = {i: ("call me on: " if i.startswith("cued") else "we saw ") + x for i, x in rows}
+    texts |= {f"base{i}": f"mail a{i}@b.cd or +1 (415) 555-{1000 + i} from 10.0.0.{i}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(3)
+    got = {r.doc_id: {r.text[s.start : s.end] for s in r.pii_spans} for r in pii.detect(docs).select("doc_id", "text", "pii_spans").collect()}
+    for i, x in rows:
+        if i.rstrip("0123456789") in planted:
+            assert x in got[i], (i, x, got[i])
+        else:
+            assert not got[i], (i, x, got[i])
+    only = spark.createDataFrame([(1, "write to name (at) host (dot) org")], "doc_id int, text string")
+    assert pii.redact(only).first().text == "write to [PII]"
+
+
 def test_empty_tables(no_docs):
     assert secrets.scan(no_docs).count() == 0
     assert pii.detect(no_docs).count() == 0
