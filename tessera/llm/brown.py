@@ -2,13 +2,13 @@
 
 Words of the training texts are counted on the cluster. Exchange clustering assigns the `clustered`
 most frequent words to classes: a word moves to the class that raises the likelihood of the class bigrams
-most, until a sweep moves none. Words up to rank `dictionary` have classes by frequency band, all
-others (and unknown words) one class, and the end of a text its own. A token's probability is that of
+most, until a sweep moves none or after six. With these fixed, Spark jobs move all other training words between the
+same classes by the classes of their neighbours (`spread`). Unknown words have one class, the end of a text its own. A token's probability is that of
 its class after the class before it, smoothed towards the class's own share, times that of the word in its class.
 
 Only the most frequent words (a bounded dictionary, with their bounded bigram counts) reach the driver and
-the tasks. Counts of the remaining words stay in a table on the cluster, as large as the corpus makes it;
-documents join it by word, for the rare words they hold.
+the tasks. Counts and classes of the remaining words stay in a table on the cluster, as large as the corpus makes
+it; documents join it by word, for the bigrams with rare words they hold.
 
 A null or empty text is one end token. A null id trains (held_out is false) and keeps its row. Repeated rows
 train each time and get a row each, with equal scores. With no training text every word is unknown and scores stay finite.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +122,8 @@ class Model:
     tokens: int  # training tokens
     base_norm: float  # log10 of the base's denominator
     rare_norm: float  # the same within the class of all other words
+    clustered: int = 0  # the ids up to this one have their classes by exchange on the driver
+    core: np.ndarray | None = None  # bigrams among these, by class (words' classes, then the end's and unknown words')
 
 
 def _sequences(texts: list[bytes], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,17 +188,143 @@ def train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 20
     rare_n, rare_v = tokens - n.sum(), types - (n > 0).sum()
     return Model(
         ids, np.r_[n > 0, False].astype(np.int64), np.r_[np.log10(n + 0.5), 0.0], np.r_[np.log10(in_class), 0.0], label, step, int(tokens),
-        float(np.log10(tokens + 0.5 * (types + 1))), float(np.log10(rare_n + 0.5 * (rare_v + 1))),
+        float(np.log10(tokens + 0.5 * (types + 1))), float(np.log10(rare_n + 0.5 * (rare_v + 1))), first, _core(bigrams[: first + 1, : first + 1], label_of_unit[: first + 1], used),
     )
 
 
+def _core(bigrams: np.ndarray, label: np.ndarray, used: int) -> np.ndarray:
+    member = np.zeros((len(label), used + 2))
+    member[np.arange(len(label)), label] = 1
+    return member.T @ bigrams @ member
+
+
+def _neighbours(docs: DataFrame, text_col: str, core: dict[bytes, int], total: int) -> DataFrame:
+    """(word, other, slot, n) for the words outside `core`: pairs of two such words in order, or (other is null)
+    a word and the class of its neighbour, slot c after it and total + c before it."""
+    end = core[_END]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: Counter = Counter()
+        both: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = [k[0] for k in near] + [k[0] for k in both]
+            others, slots = [None] * len(near) + [k[1] for k in both], [k[1] for k in near] + [None] * len(both)
+            out = [pa.array(words, pa.binary()), pa.array(others, pa.binary()), pa.array(slots, pa.int32()), pa.array([*near.values(), *both.values()], pa.int64())]
+            near.clear()
+            both.clear()
+            return pa.RecordBatch.from_arrays(out, ["word", "other", "slot", "n"])
+
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            for text in as_bytes(batch.column(0)):
+                before, outside = end, False
+                for x in [*words_ascii_lower(text), _END]:
+                    c = core.get(x)
+                    if c is None:
+                        if outside:
+                            both[before, x] += 1
+                        else:
+                            near[x, total + before] += 1
+                        before, outside = x, True
+                    else:
+                        if outside:
+                            near[before, c] += 1
+                        before, outside = c, False
+                if len(near) + len(both) > _FLUSH:
+                    yield flush()
+        if near or both:
+            yield flush()
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, other binary, slot int, n long")
+    return found.groupBy("word", "other", "slot").agg(F.sum("n").alias("n"))
+
+
+def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
+    """(word, label): the class where each word's bigrams with its neighbours' classes are likeliest."""
+    total = len(between)
+    used = total - 2
+    after = np.log((between[:used] + 0.5) / (between[:used].sum(1) + 0.5 * total)[:, None]).T
+    ahead = np.log((between[:, :used] + 0.5) / (between[:, :used].sum(0) + 0.5 * total))
+    weight = np.r_[after, ahead]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                cells = batch.column(1)
+                flat, lengths = cells.flatten(), np.diff(cells.offsets.to_numpy())
+                slot, n = flat.field("slot").to_numpy(), flat.field("n").to_numpy()
+                own = np.repeat(np.arange(len(lengths)), lengths)
+                by_slot = np.zeros((len(lengths), 2 * total))
+                by_slot[own, slot] = n
+                value = by_slot @ weight
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.argmax(1).astype(np.int32))], ["word", "label"])
+
+    summed = vectors.groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("cells")).mapInArrow(run, "word binary, label int")
+
+
+def spread(model: Model, counts: DataFrame, docs: DataFrame, text_col: str, smoothing: float = 20.0, rounds: int = 3, least: float = 1e-3) -> tuple[Model, DataFrame]:
+    """The model with every training word in a class, and (word, n, label) of the words outside the dictionary.
+
+    The words clustered on the driver keep their classes; all others start in the class that their clustered
+    neighbours make likeliest and move, all at once, to the one that all their neighbours do. Rounds end when the
+    likelihood of the class bigrams rises by less than `least` of itself (or falls: the best labels stay), or
+    after `rounds`. A word never seen in training has a class of its own."""
+    between, total = model.core, len(model.core)
+    words = list(model.ids)
+    core = dict(zip(words[: model.clustered + 1], model.label[: model.clustered + 1].tolist()))
+    found = materialize(_neighbours(docs, text_col, core, total))
+    near, both = found.where("other IS NULL").select("word", "slot", "n"), found.where("other IS NOT NULL").select("word", "other", "n")
+    # Words without a clustered neighbour take part with no weight.
+    alone = both.select("word").unionByName(both.select(F.col("other").alias("word"))).select("word", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("n"))
+    labels = materialize(_choose(near.unionByName(alone), between))
+    best = None
+    for k in range(rounds + 1):
+        joined = materialize(both.join(labels.withColumnRenamed("label", "la"), "word").join(labels.select(F.col("word").alias("other"), F.col("label").alias("lb")), "other"))
+        now = between.copy()
+        for x in near.join(labels, "word").groupBy("label", "slot").agg(F.sum("n").alias("n")).collect():
+            now[(x.label, x.slot) if x.slot < total else (x.slot - total, x.label)] += x.n
+        for x in joined.groupBy("la", "lb").agg(F.sum("n").alias("n")).collect():
+            now[x.la, x.lb] += x.n
+        h = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        gained = h(now) - h(now.sum(0)) - h(now.sum(1)) + h(now.sum())
+        small = best is not None and gained < best[0] + least * abs(best[0])
+        if best is None or gained > best[0]:
+            best = (gained, labels, now)
+        if small or k == rounds:
+            break
+        vectors = near.unionByName(joined.select("word", F.col("lb").alias("slot"), "n")).unionByName(joined.select(F.col("other").alias("word"), (F.col("la") + total).alias("slot"), "n"))
+        labels = materialize(_choose(vectors, now))
+    _, labels, between = best
+    share = (between.sum(0) + 0.5) / (between.sum() + 0.5 * total)
+    chance = (between + smoothing * share[None, :]) / (between.sum(1) + smoothing)[:, None]
+    # No count tells where unknown words stand: after any class they have their share of the unigram base.
+    unknown = min(0.5, 0.5 * 10**-model.base_norm)
+    chance[:, :-1] *= (1 - unknown) / chance[:, :-1].sum(1, keepdims=True)
+    chance[:, -1] = unknown
+    step = np.log10(chance)
+    table = materialize(counts.join(labels, "word"))
+    ids = docs.sparkSession.createDataFrame([(bytearray(w),) for w in words[model.clustered + 1 :]], "word binary")
+    size = np.zeros(total)
+    for x in table.groupBy("label").agg(F.sum("n").alias("n")).collect():
+        size[x.label] += x.n
+    label = np.r_[model.label[: model.clustered + 1], np.full(len(words) - model.clustered, total - 1)]
+    n = np.maximum(np.round(10 ** model.base[:-1] - 0.5), 0)
+    np.add.at(size, label[: model.clustered + 1], n[: model.clustered + 1])
+    for x in table.join(F.broadcast(ids), "word").collect():
+        label[model.ids[bytes(x.word)]] = x.label
+    emit = np.r_[np.log10(np.maximum(n, 0.5) / np.maximum(size[label[:-1]], 0.5)), 0.0]
+    rare = table.join(F.broadcast(ids), "word", "left_anti").withColumn("emit", F.log10(F.col("n") / F.element_at(F.array(*map(F.lit, size.tolist())), F.col("label") + 1)))
+    return replace(model, label=label, emit=emit, step=step), rare
+
+
 def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of
     docs; the rows where `trains` holds are learned from. Scores are log10 probabilities."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"), (~F.coalesce(trains, F.lit(True))).alias("held_out"))
     training = rows.where("NOT held_out")
     counts = materialize(count_tokens(training, "text"))
-    model = train(counts, training, "text", **settings)
+    model, classes = spread(train(counts, training, "text", **settings), counts, training, "text", **{k: v for k, v in settings.items() if k == "smoothing"})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,30 +336,53 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
             before = np.r_[m.label[0], cls[:-1]]
             add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]
             rare = flat == len(m.ids)
-            cols = [lengths, add(m.known[flat]), add(rare.astype(np.int64)), add(m.base[flat]), add(m.emit[flat] + m.step[before, cls])]
+            # Bigrams with a word outside the dictionary are scored below.
+            plain = ~(rare | np.r_[False, rare[:-1]])
+            cols = [lengths, add(m.known[flat]), add(rare.astype(np.int64)), add(m.base[flat]), add(np.where(rare, 0.0, m.emit[flat]) + np.where(plain, m.step[before, cls], 0.0))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, cols)], ["id", "h", "held_out", "n_tokens", "n_known", "n_rare", "base", "own"])
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value.ids
+        """Bigrams with a word outside the dictionary: of each side the word, or the class of one inside."""
+        m = shared.value
+        inside = dict(zip(m.ids, m.label[:-1].tolist()))
+        end = inside[_END]
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            words, times, lengths = [], [], []
+            a, ca, b, cb, times, lengths = [], [], [], [], [], []
             for text in as_bytes(batch.column(2)):
-                c = Counter(w for w in words_ascii_lower(text) if w not in ids)
-                words += c
-                times += c.values()
+                c: Counter = Counter()
+                before, outside = end, False
+                for x in [*words_ascii_lower(text), _END]:
+                    k = inside.get(x)
+                    if k is None or outside:
+                        c[(before if outside else None), (None if outside else before), (x if k is None else None), k] += 1
+                    before, outside = (x, True) if k is None else (k, False)
+                for key, n in c.items():
+                    for column, v in zip((a, ca, b, cb), key):
+                        column.append(v)
+                    times.append(n)
                 lengths.append(len(c))
             at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["id", "h", "word", "tf"])
+            made = [pa.array(a, pa.binary()), pa.array(ca, pa.int32()), pa.array(b, pa.binary()), pa.array(cb, pa.int32()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], ["id", "h", "a", "ca", "word", "cb", "tf"])
 
     kind = dict(rows.dtypes)["id"]
     summary = rows.mapInArrow(whole, f"id {kind}, h long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, own double")
-    pairs = rows.mapInArrow(rare_words, f"id {kind}, h long, word binary, tf long")
-    looked = pairs.join(counts, "word", "left")
+    pairs = rows.mapInArrow(rare_words, f"id {kind}, h long, a binary, ca int, word binary, cb int, tf long")
+    # A side inside the dictionary gets a key of its own that no word equals, so that the joins stay even.
+    other = len(model.core) - 1
+    spare = F.concat(F.lit(" ").cast("binary"), F.xxhash64("id", "h").cast("string").cast("binary"))
+    pairs = pairs.withColumn("ka", F.coalesce("a", spare)).withColumn("kb", F.coalesce("word", spare))
+    looked = pairs.join(classes.select(F.col("word").alias("kb"), "n", "emit", F.col("label").alias("lb")), "kb", "left").join(classes.select(F.col("word").alias("ka"), F.col("label").alias("la")), "ka", "left")
+    place = F.coalesce("ca", "la", F.lit(other)) * len(model.core) + F.coalesce("cb", "lb", F.lit(other))
+    has, tf = F.col("word").isNotNull(), F.col("tf")
     # Rows with the same id and text have the same words: they are summed together and shared evenly below.
-    rare = looked.groupBy("id", "h").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("r_known"), F.sum("tf").alias("r_tokens"), F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("r_log")
-    )
-    rare = rare.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "r_known", "r_tokens", "r_log")
+    rare = looked.groupBy("id", "h", place.alias("place")).agg(
+        F.sum(F.when(F.col("n").isNotNull(), tf).otherwise(0)).alias("r_known"), F.sum(F.when(has, tf).otherwise(0)).alias("r_tokens"),
+        F.sum(F.when(has, tf * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).otherwise(0.0)).alias("r_log"), F.sum(tf * F.coalesce("emit", F.lit(0.0))).alias("r_emit"), F.sum("tf").alias("tf"),
+    )
+    matrix = docs.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(model.step.ravel())], "place int, step double")
+    rare = rare.join(F.broadcast(matrix), "place").groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("r_known", "r_tokens", "r_log")], F.sum(F.col("r_emit") + F.col("tf") * F.col("step")).alias("r_own"))
+    rare = rare.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "r_known", "r_tokens", "r_log", "r_own")
     both = summary.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left")
     copies = F.greatest(F.coalesce(F.col("r_tokens") / F.col("n_rare"), F.lit(1.0)), F.lit(1.0))
     extra = F.coalesce(F.col("r_log") / copies, F.lit(0.0))
@@ -242,7 +393,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         (F.col("n_known") + F.coalesce(F.round(F.col("r_known") / copies).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + extra - F.col("n_tokens") * F.lit(model.base_norm)).alias("base_score"),
-        (F.col("own") + extra - F.col("n_rare") * F.lit(model.rare_norm)).alias("score"),
+        (F.col("own") + F.coalesce(F.col("r_own") / copies, F.lit(0.0))).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 

@@ -184,6 +184,23 @@ def test_probabilities_sum_to_one(docs):
         assert math.isclose((10 ** m.emit[:-1][m.label[:-1] == c]).sum(), 1, rel_tol=1e-6)
 
 
+def test_words_beyond_the_start_get_classes_by_their_neighbours(spark):
+    rng = random.Random(9)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    pick = lambda x: x[min(int(rng.expovariate(0.06)), 59)]
+    rows = [(i, " ".join(f"{pick(nouns)} {pick(verbs)}" for _ in range(30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = brown.count_tokens(df, "text").cache()
+    m, rare = brown.spread(brown.train(counts, df, "text", clustered=30, dictionary=50, classes=2), counts, df, "text")
+    label = {w.decode(): int(k) for w, k in zip(m.ids, m.label)} | {bytes(x.word).decode(): x.label for x in rare.collect()}
+    assert len(label) == counts.count()
+    sides = [{k for w, k in label.items() if w.startswith(c)} for c in "nv"]
+    assert [len(x) for x in sides] == [1, 1] and sides[0] != sides[1]
+    assert np.allclose((10**m.step).sum(1), 1, atol=1e-6)
+    for c in set(label.values()):
+        assert math.isclose((10 ** m.emit[:-1][m.label[:-1] == c]).sum() + sum(10**x.emit for x in rare.collect() if x.label == c), 1, rel_tol=1e-6)
+
+
 # SentencePiece
 
 
