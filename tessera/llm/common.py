@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,22 +19,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, spark.checkpoint.dir. A local session without one gets a temporary folder;
+    on a cluster a folder of one machine would not do, so there it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name for an intermediate table. The file system deletes it when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, so later jobs neither
     recompute it nor depend on one executor's disk."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{scratch_path(df.sparkSession)}/table"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def wrapped(df: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """df's rows as one struct column `row`, so that an operator's own columns can't clash with theirs."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns if c not in without]).alias("row"))
+
+
+def unwrapped(df: DataFrame, **added: Column) -> DataFrame:
+    """The columns of the struct `row` again, and those added; an added one replaces one of the same name."""
+    fields = [f.name for f in df.schema["row"].dataType.fields]
+    return df.select(*[added[c].alias(c) if c in added else F.col(f"row.{quoted(c)}") for c in fields], *[v.alias(k) for k, v in added.items() if k not in fields])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without decoding; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -59,25 +88,23 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = 500, size: int = 1 << 2
 
 
 def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True) -> DataFrame:
-    """df with columns made from its text, which goes to `make` a batch at a time."""
-    from pyspark.sql import types as T
-
-    df = df.withColumn("_text", F.col(text_col).cast("string"))
-    kept = [c for c in df.columns if c != "_text" and (keep_text or c != text_col)]
-    names = [f.name for f in T._parse_datatype_string(added).fields]
-    rows = df.select("_text", *[F.col(f"`{c}`") for c in kept if c != text_col or df.schema[c].dataType != T.StringType()])
-    same = keep_text and text_col not in rows.columns
+    """df with columns made from its text, which goes to `make` a batch at a time. An added column replaces one of the same name."""
+    new = T._parse_datatype_string(added).fields
+    names = {f.name for f in new}
+    text = F.col(quoted(text_col)).cast("string")
+    is_text = df.schema[text_col].dataType == T.StringType()
+    kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text_col)]
+    # The text comes first, and again only if it isn't a string and is kept.
+    again = [f for f in kept if f.name != text_col or not is_text]
+    rows = df.select(text.alias("0"), *[F.col(quoted(f.name)).alias(str(i)) for i, f in enumerate(again, 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns))
-            if same:
-                columns[text_col] = columns["_text"]
-            made = dict(zip(names, make(columns["_text"])))
-            yield pa.RecordBatch.from_arrays([*(columns[c] for c in kept), *made.values()], [*kept, *names])
+            own = {f.name: c for f, c in zip(again, batch.columns[1:])}
+            yield pa.RecordBatch.from_arrays([*(own.get(f.name, batch.column(0)) for f in kept), *make(batch.column(0))], [str(i) for i in range(len(kept) + len(new))])
 
-    schema = T.StructType([df.schema[c] for c in kept] + T._parse_datatype_string(added).fields)
-    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+    fields = [T.StructField(str(i), f.dataType, True) for i, f in enumerate([*kept, *new])]
+    return rows.mapInArrow(run, T.StructType(fields)).toDF(*[f.name for f in [*kept, *new]])
 
 
 def words_ascii_lower(text: bytes) -> list[bytes]:
@@ -85,25 +112,34 @@ def words_ascii_lower(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def hot_join(edges: DataFrame, key: str, other: str, values: DataFrame, value: str, salts: int = 32) -> DataFrame:
+    """edges with the column `value` of the table (key, value), null where it has no such key.
+
+    A key may hold any share of the edges, so these are dealt by the key and a salt from their other end. The value
+    goes to each (key, salt) that occurs, at most `salts` rows a key, and from there to the edges.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    places = salted.select(key, "salt").distinct().join(values, key)
+    return salted.join(places, [key, "salt"], "left").select(*edges.columns, value)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Alternates the large-star and small-star steps. Both take minima with map-side partial
-    aggregation before a join, so a hub's edges are not gathered in one group, and each round is
+    aggregation, and a hub's edges get them dealt over many groups; each round is
     written to the shared folder. Nothing but a count and a checksum comes to the driver.
     """
-    from pyspark.sql import types as T
-
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     cur = materialize(edges)
     seen = None
     for _ in range(max_rounds):
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        # Large star: each neighbour above a node goes to the least of the node and its neighbours.
+        low = cur.groupBy("u").agg(F.min("v").alias("m"))
+        large = hot_join(cur, "v", "u", low.withColumnRenamed("u", "v"), "m").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # Small star: a node and its lower neighbours go to the least of these.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = hot_join(large, "u", "v", low, "m")
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         cur = materialize(small.select("e.u", "e.v").where("u != v").distinct())
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast(T.DecimalType(38, 0)))).first()
@@ -112,5 +148,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = state
     else:
         raise RuntimeError("connected components did not converge")
+    # At rest every edge leads from a node to its component.
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
