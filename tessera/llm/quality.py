@@ -3,19 +3,17 @@
 Two generative models over hashed byte n-grams are compared: of the target (documents labelled good)
 and of the raw text (all documents). Each gives the next byte after the n-1 bytes before it (order 1: of any byte), so the shares of
 languages or topics in the labels don't matter; the target's counts are smoothed by the raw model. A document's
-log weight is the log ratio of its probabilities, per byte, shrunk for short texts. Gumbel noise is added
-to the log weights, sharpened by `sharpness`, and the k highest keys are drawn: importance resampling without
-replacement. Unless k is given, it is the number of documents whose log weight reaches the value that best parts
-labelled good from labelled bad documents.
-
-The target model and that value are fitted on at most `labelled` documents of each label (the first by a hash of the
-id; half of the good ones for the model, the rest for the value). Raw counts, weights and the draw cover all
-documents. The k-th key is found by counting in bins, not by sorting on one machine. The noise depends on the id, the
-text and the seed only, so reruns agree.
-
-A null or empty text has no weight and is rejected. Equal keys at the border are all kept. Repeated rows
-get equal keys. Without labelled good documents every weight is 0; without bad ones the value is the least weight of the good ones
-(0 without either).
+log weight is the log ratio of the probabilities that both give its whole text, summed over the orders. Standard Gumbel noise is
+added, and the k highest keys are drawn: importance resampling without replacement, each draw in proportion to the weights.
+Unless k is given it is `share` of the documents with text, by default the share of good ones among the labelled.
+
+The target model is fitted on at most `labelled` good documents (the first by a hash of the id; a document whose id repeats
+brings all its rows). Raw counts, weights and the draw cover all documents. The k-th key is found by counting in bins, not by sorting on one
+machine. The noise depends on the id, the text and the seed only, so reruns agree.
+
+A null or empty text has no weight and is never drawn. Equal keys at the border are all kept, so repeated rows, which
+get equal keys, stay or go together. Without labelled good documents every weight is 0 and all documents are drawn unless a share is given; an empty
+table gives an empty one. Long texts are read whole, one at a time. Extra columns stay, whatever their names; log_weight, gumbel_key and kept are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, each_as_bytes, map_text, materialize, slices
+from tessera.llm.common import as_bytes, each_as_bytes, map_text, materialize, quoted, slices, unwrapped
 
 _ORDERS = (1, 3, 5)
 _MIX = np.uint32(0x9E3779B1)  # golden-ratio multiplier of multiplicative hashing
@@ -96,12 +94,11 @@ class Ratio:
     raw: np.ndarray  # raw count of a context
     known: np.ndarray  # log of the target's count of a context and the smoothing
     smoothing: float
-    shrink: float
 
     @classmethod
-    def of(cls, target: np.ndarray, raw: np.ndarray, bits: int, smoothing: float, shrink: float) -> Ratio:
+    def of(cls, target: np.ndarray, raw: np.ndarray, bits: int, smoothing: float) -> Ratio:
         share = np.divide(target[:, 1], raw[:, 1], out=np.zeros_like(raw[:, 1]), where=raw[:, 1] > 0)
-        return cls(bits, share.astype(np.float32), raw[:, 0].astype(np.float32), np.log(target[:, 0] + smoothing).astype(np.float32), smoothing, shrink)
+        return cls(bits, share.astype(np.float32), raw[:, 0].astype(np.float32), np.log(target[:, 0] + smoothing).astype(np.float32), smoothing)
 
     def __call__(self, text: bytes) -> float:
         total = 0.0
@@ -109,7 +106,7 @@ class Ratio:
             context, gram = hashed(text, n, self.bits)
             if len(gram):
                 total += float((np.log(self.share[k][gram] * self.raw[k][context] + np.float32(self.smoothing)) - self.known[k][context]).sum(dtype=np.float64))
-        return total / (len(text) + self.shrink)
+        return total
 
 
 def with_log_weight(docs: DataFrame, ratio: Ratio, text_col: str) -> DataFrame:
@@ -118,35 +115,22 @@ def with_log_weight(docs: DataFrame, ratio: Ratio, text_col: str) -> DataFrame:
 
 
 def _labelled(labels: DataFrame, id_col: str, n: int) -> DataFrame:
-    """At most n labelled ids, a bounded table; `half` parts them in two."""
-    ids = labels.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_h", F.xxhash64("_id"))
-    return ids.orderBy("_h", "_id").limit(n).select("_id", (F.col("_h") % 2 == 0).alias("_half"))
-
-
-def parting(good: np.ndarray, bad: np.ndarray, slack: float = 0.004) -> float:
-    """The least value that keeps good and rejects bad about as well as any: `slack` leans towards keeping good."""
-    if not len(bad):
-        return float(good.min()) if len(good) else 0.0
-    if not len(good):
-        return float(bad.max())
-    values = np.unique(np.r_[good, bad])
-    merit = 1 - np.searchsorted(np.sort(good), values) / len(good) + np.searchsorted(np.sort(bad), values) / len(bad)
-    return float(values[np.flatnonzero(merit >= merit.max() - slack)[0]])
-
-
-def fit(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 18, smoothing: float = 50.0, shrink: float = 150.0, labelled: int = 10_000) -> tuple[Ratio, float]:
-    """The model, and the log weight that best parts good from bad."""
-    good, bad = _labelled(good, id_col, 2 * labelled), _labelled(bad, id_col, labelled)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    target = bucket_counts(text.join(F.broadcast(good.where("_half")), "_id", "left_semi"), "_text", bits)
-    ratio = Ratio.of(target, bucket_counts(docs, text_col, bits), bits, smoothing, shrink)
-    seen = []
-    for ids in (good.where("NOT _half"), bad):
-        rows = text.join(F.broadcast(ids), "_id", "left_semi").select(F.col("_text").alias("text"))
-        rows = with_log_weight(rows, ratio, "text").select(F.col("log_weight").alias("w")).where("w IS NOT NULL")
-        # at most `labelled` rows, unless ids repeat; then the first of them by value stand for all
-        seen.append(rows.groupBy("w").count().orderBy("w").limit(2 * labelled).toPandas()["w"].to_numpy(dtype=np.float64))
-    return ratio, parting(*seen)
+    """At most n labelled ids, a bounded table."""
+    ids = labels.select(F.col(quoted(id_col)).alias("_id")).where("_id IS NOT NULL").distinct()
+    return ids.orderBy(F.xxhash64("_id"), "_id").limit(n)
+
+
+def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 18, smoothing: float = 50.0, labelled: int = 10_000) -> Ratio:
+    """The models of the target and of the raw text."""
+    text = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
+    target = bucket_counts(text.join(F.broadcast(_labelled(good, id_col, labelled)), "_id", "left_semi"), "_text", bits)
+    return Ratio.of(target, bucket_counts(docs, text_col, bits), bits, smoothing)
+
+
+def good_share(good: DataFrame, bad: DataFrame, id_col: str) -> float:
+    """The share of good ids among the labelled ones; 1 without any."""
+    n, m = (x.select(F.count_distinct(F.col(quoted(id_col)))).first()[0] for x in (good, bad))
+    return n / (n + m) if n else 1.0
 
 
 def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
@@ -173,22 +157,38 @@ def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
         low, high = found[b].lo, found[b].hi
 
 
-def resample(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, sharpness: float = 1000.0, seed: int = 42, **settings) -> DataFrame:
-    """docs with the columns log_weight, gumbel_key and kept added. `good` and `bad` hold labelled ids."""
-    ratio, value = fit(docs, good, bad, id_col, text_col, **settings)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    scored = with_log_weight(docs, ratio, text_col)
-    scored = scored.withColumn("gumbel_key", F.lit(sharpness) * F.col("log_weight") - F.log(-F.log(uniform)))
-    keys = materialize(scored.select("log_weight", F.col("gumbel_key").alias("v")).where("v IS NOT NULL"))
-    k = keys.where(F.col("log_weight") >= F.lit(value)).count() if k is None else k
+def _draw(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str, text_col: str, k: int | None, share: float | None, seed: int, keep_text: bool, **settings) -> DataFrame:
+    """(row, log_weight, gumbel_key, kept); texts are scored once, into a table in the shared folder."""
+    ratio = fit(docs, good, id_col, text_col, **settings)
+    fields = [F.col(quoted(c)) for c in docs.columns if keep_text or c != text_col]
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)), F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    rows = docs.select(F.struct(*fields).alias("row"), F.col(quoted(text_col)).alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
+    scored = with_log_weight(rows, ratio, "text").select("row", "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key"))
+    scored = materialize(scored)
+    keys = scored.select(F.col("gumbel_key").alias("v")).where("v IS NOT NULL")
+    if k is None:
+        k = round(keys.count() * (good_share(good, bad, id_col) if share is None else share))
     return scored.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(kth_largest(keys, k)), F.lit(False)))
 
 
-def by_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return resample(docs, labels.where("quality = 1"), labels.where("quality = 0"))
+def resample(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, share: float | None = None, seed: int = 42, keep_text: bool = True, **settings) -> DataFrame:
+    """docs with the columns log_weight, gumbel_key and kept added. `good` and `bad` hold labelled ids; the bad ones only tell the share."""
+    made = _draw(docs, good, bad, id_col, text_col, k, share, seed, keep_text, **settings)
+    return unwrapped(made, **{c: F.col(c) for c in ("log_weight", "gumbel_key", "kept")})
+
+
+def by_labels(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    return resample(docs, labels.where("quality = 1"), labels.where("quality = 0"), **settings)
+
+
+def drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are drawn, with their own columns."""
+    made = _draw(docs, labels.where("quality = 1"), labels.where("quality = 0"), "doc_id", "text", None, None, 42, True)
+    return unwrapped(made.where("kept").select("row"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import table
 
-    return by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return by_labels(docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "log_weight", "gumbel_key", "kept")
