@@ -1,145 +1,175 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-Vectors are centred on the mean, turned by one random rotation (fixed seed) and kept as the packed
-signs of their coordinates plus two scalars: the distance to the centre, and the inner product
-of the unit vector with its own code. With these a product with a query is estimated without bias, within
-`epsilon` standard errors; candidates whose lower bound of the distance does not exceed the
-k-th exact distance so far are reranked on the original vectors, so scores are exact.
+Vectors of a dimension are centred (on the mean, for the commonest dimension), turned by one random rotation (fixed seed) and kept as the
+packed signs of their coordinates plus two scalars: the distance to the centre, and the inner product
+of the unit vector with its own code. A query is turned likewise and rounded to four bits a coordinate, so its product with a code
+is four bitwise-and population counts over packed words. The two scalars correct that to an estimate of the distance with a standard error.
+
+Only codes and scalars are sent to meet the queries, not vectors, and twice. First each query's `first` nearest by estimate are fetched
+and reranked on the original vectors: their k-th distance is a true upper bound. Then all candidates whose lower bound (`epsilon`
+standard errors under the estimate) doesn't exceed it are fetched and reranked as well. So scores are exact, and a neighbour is missed only
+if its estimate errs by more than the bound allows. Every row is coded and meets every query; nothing is sampled.
 
 Rows whose vector is null, empty, zero or holds a null or non-finite component, or whose id is null,
-take no part. Vectors meet only those of equal dimension (the commonest dimension gets codes;
-the others are compared exactly). A row never meets rows of its own id; a row repeated with the same id
-and vector is asked once. Every row is coded; nothing is sampled but a bounded seed that starts the thresholds.
+take no part. Vectors meet only those of equal dimension. A row never meets rows of its own id; a row repeated with the same id
+and vector is asked once and answers as often as it occurs. Ties go to the smaller id. An empty table gives an empty one; columns other
+than the id and the vector are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import best_rows, final_top, grid, matrix, seed_rows, valid_vectors
+from tessera.llm.common import materialize
+from tessera.llm.vectors import counted, dealt, final_top, grid, matrix, valid_vectors
+
+_PLANES = 4  # bits of a query's coordinate
 
 
+@functools.lru_cache(8)
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, distance to the centre, and the unit vector's product with its code."""
-    rest = vectors - centre
+def _turned(vectors: np.ndarray, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rotated unit vectors from the centre, and the distances to it."""
+    rest = vectors if centre is None else vectors - centre
     norm = np.sqrt((rest**2).sum(1))
-    unit = (rest / np.maximum(norm, 1e-300)[:, None]) @ turn
+    return (rest / np.maximum(norm, 1e-300)[:, None]) @ rotation(vectors.shape[1]), norm
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words."""
+    out = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(np.pad(out, ((0, 0), (0, -out.shape[1] % 8)))).view(np.uint64)
+
+
+def encode(vectors: np.ndarray, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs, distance to the centre, and the unit vector's product with its code."""
+    unit, norm = _turned(vectors, centre)
     own = np.abs(unit).sum(1) / np.sqrt(vectors.shape[1])
-    return np.packbits(unit > 0, axis=1), norm, np.maximum(own, 1e-12)
+    return _packed(unit > 0), norm, np.maximum(own, 1e-12)
 
 
-def lower_bounds(bits: np.ndarray, norm: np.ndarray, own: np.ndarray, query: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of the squared distances and their lower bounds, queries by candidates."""
+def estimates(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, query: np.ndarray, centre: np.ndarray | None, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of the squared distances and their lower bounds, queries by candidates, from packed words and scalars alone."""
     dim = query.shape[1]
-    rest = query - centre
-    q_norm = np.sqrt((rest**2).sum(1))
-    unit = ((rest / np.maximum(q_norm, 1e-300)[:, None]) @ turn).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    product = (unit @ signs.T) / np.float32(np.sqrt(dim)) / own[None, :].astype(np.float32)
-    error = epsilon * np.sqrt(np.maximum(0, 1 - own**2)) / own / np.sqrt(max(1, dim - 1))
+    unit, q_norm = _turned(query, centre)
+    low = unit.min(1)
+    step = np.maximum((unit.max(1) - low) / (2**_PLANES - 1), 1e-300)
+    level = np.rint((unit - low[:, None]) / step[:, None]).astype(np.int64)
+    ones = np.bitwise_count(codes).sum(1, dtype=np.int32)
+    dot = np.zeros((len(query), len(codes)), dtype=np.int32)
+    for j in range(_PLANES):
+        plane = _packed((level >> j) & 1)
+        for w in range(codes.shape[1]):
+            dot += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << j
+    # A code's signs are 2 * bit - 1; a coordinate is low + step * level.
+    signs = 2 * (step[:, None] * dot + low[:, None] * ones[None, :]) - (step * level.sum(1) + low * dim)[:, None]
+    product = signs / np.sqrt(dim) / own[None, :]
+    # The part of a unit vector across its code, and the rounding of the query's coordinates.
+    error = epsilon * np.sqrt(np.maximum(0, 1 - own**2)[None, :] / max(1, dim - 1) + (step**2 / 12)[:, None]) / own[None, :]
     base, scale = norm[None, :] ** 2 + q_norm[:, None] ** 2, 2 * norm[None, :] * q_norm[:, None]
     estimate = base - scale * product
-    return estimate, estimate - scale * error[None, :]
-
-
-def exact(query: np.ndarray, cand: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
-    """Euclidean distances of pairs, in double precision."""
-    step = 1 << 16
-    parts = [np.sqrt(((query[qi[i : i + step]] - cand[ci[i : i + step]]) ** 2).sum(1)) for i in range(0, len(qi), step)]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
-def search_block(cid, cand, codes, qid, query, limit, k, centre, turn, epsilon):
-    """(query index, candidate id, distance) of the k nearest found in this block."""
-    found = []
-    for at in range(0, len(query), 256):
-        q, own = query[at : at + 256], qid[at : at + 256]
-        estimate, low = lower_bounds(*codes, q, centre, turn, epsilon)
-        same = own[:, None] == cid[None, :]
-        estimate[same] = np.inf
-        low[same] = np.inf
-        bound, near_by = limit[at : at + 256].copy(), np.zeros(low.shape, dtype=bool)
-        if len(cand) > k:
-            first = np.argpartition(estimate, k - 1, axis=1)[:, :k]
-            qi, ci = np.repeat(np.arange(len(q)), k), first.ravel()
-            near = exact(q, cand, qi, ci)
-            near[own[qi] == cid[ci]] = np.inf
-            bound = np.minimum(bound, near.reshape(len(q), k).max(1))
-            near_by[qi, ci] = True  # a block always answers with k rows, even if a bound fails
-        qi, ci = np.nonzero(((low <= bound[:, None] ** 2 * (1 + 1e-9)) | near_by) & ~same)
-        near = exact(q, cand, qi, ci)
-        top = best_rows(qi, cid[ci], near, k, smallest=True)
-        found.append((qi[top] + at, cid[ci[top]], near[top]))
-    if not found:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = 1.9, seed: int = 1024, block: int = 4096) -> DataFrame:
+    return estimate, estimate - scale * error
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = 1.9, first: int = 40, block: int = 65_536, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, nearest first."""
-    rows = valid_vectors(df, id_col, vec_col, zero=False)
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = sizes[0].dim if sizes else 1
+    rows = materialize(counted(valid_vectors(df, id_col, vec_col, zero=False)))
+    common = rows.groupBy("dim").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    dim = common[0].dim if common else 1
     # The mean of each coordinate: one row per coordinate.
     mean = {r.pos: r.mean for r in rows.where(F.col("dim") == dim).select(F.posexplode("vec")).groupBy("pos").agg(F.avg("col").alias("mean")).collect()}
-    centre, turn = np.array([mean.get(i, 0.0) for i in range(dim)]), rotation(dim)
-    seeds = [(r.id, r.vec) for r in seed_rows(rows, ["id", "vec"], seed) if len(r.vec) == dim]
-    sid, sv = np.array([i for i, _ in seeds], dtype=np.int64), np.array([v for _, v in seeds]).reshape(-1, dim)
-    queries = rows.where(is_query).dropDuplicates(["id", "vec"]).select("id", "vec", F.xxhash64("vec").alias("copy"))
+    middle = np.array([mean.get(i, 0.0) for i in range(dim)])
+    centre_of = lambda d: middle if d == dim else None
 
     def coded(batches):
         for batch in batches:
-            vecs = [np.array(v) for v in batch.column(1).to_pylist()]
-            bits, norm, own = [b""] * len(vecs), np.zeros(len(vecs)), np.ones(len(vecs))
-            at = [i for i, v in enumerate(vecs) if len(v) == dim]
-            if at:
-                packed, norm[at], own[at] = encode(np.stack([vecs[i] for i in at]), centre, turn)
-                for i, b in zip(at, packed):
-                    bits[i] = b.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(norm), pa.array(own)], ["id", "vec", "bits", "norm", "own"])
-
-    def bounded(batches):
+            dims = batch.column(2).to_numpy()
+            bits, norm, own = np.empty(len(dims), dtype=object), np.zeros(len(dims)), np.ones(len(dims))
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                words, norm[at], own[at] = encode(matrix(batch.column(3).take(pa.array(at)), d), centre_of(d))
+                bits[at] = [w.tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits, pa.binary()), pa.array(norm.astype(np.float32)), pa.array(own.astype(np.float32))], ["id", "copy", "dim", "bits", "norm", "own"])
+
+    codes = materialize(rows.select("id", "copy", "dim", "vec").mapInArrow(coded, "id long, copy long, dim int, bits binary, norm float, own float"))
+    asked = rows.where(is_query).select("id", "copy", "dim", "vec")
+    # Dimensions aren't grouped further, so there is one row of sizes for each.
+    codes, sizes = dealt(codes, codes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), ["dim"], block, "tile")
+    asked, asks = dealt(asked, asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), ["dim"], query_block, "qtile")
+    pairs = sizes.select("dim", "tiles").join(asks.select("dim", "qtiles"), "dim")
+
+    def search(within: bool):
+        """The candidates whose lower bound is within the query's bound, or else the `first` nearest by estimate."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = [np.zeros((0, 4), dtype=np.int64)]
+            far = [np.zeros(0)]
+            if left.num_rows and right.num_rows:
+                d = left["dim"][0].as_py()
+                words = np.frombuffer(b"".join(left["bits"].to_pylist()), dtype=np.uint64).reshape(left.num_rows, -1)
+                cid, copy, norm, own = left["id"].to_numpy(), left["copy"].to_numpy(), left["norm"].to_numpy().astype(np.float64), left["own"].to_numpy().astype(np.float64)
+                for at in range(0, right.num_rows, 32):
+                    b = right.slice(at, 32)
+                    qid, qcopy = b["id"].to_numpy(), b["copy"].to_numpy()
+                    estimate, low = estimates(words, norm, own, matrix(b["vec"], d), centre_of(d), epsilon)
+                    same = qid[:, None] == cid[None, :]
+                    if within:
+                        qi, ci = np.nonzero((low <= b["bound"].to_numpy()[:, None] ** 2 * (1 + 1e-9)) & ~same)
+                    else:
+                        estimate[same] = np.inf
+                        ci = np.argpartition(estimate, first - 1, axis=1)[:, :first] if len(cid) > first else np.tile(np.arange(len(cid)), (len(qid), 1))
+                        qi, ci = np.repeat(np.arange(len(qid)), ci.shape[1]), ci.ravel()
+                        keep = ~same[qi, ci]
+                        qi, ci = qi[keep], ci[keep]
+                    out.append(np.stack([qid[qi], qcopy[qi], cid[ci], copy[ci]], axis=1))
+                    far.append(estimate[qi, ci])
+            found = np.concatenate(out)
+            return pa.table([*(pa.array(found[:, j]) for j in range(4)), pa.array(np.concatenate(far))], ["query_id", "qcopy", "vec_id", "copy", "estimate"])
+
+        return run
+
+    schema = "query_id long, qcopy long, vec_id long, copy long, estimate double"
+    best = Window.partitionBy("query_id", "qcopy").orderBy("estimate", "vec_id", "copy")
+    near = grid(codes, asked, pairs, ["dim"], ["dim"], search(False), schema).withColumn("place", F.row_number().over(best))
+    near = materialize(_exact(near.where(F.col("place") <= first).drop("place", "estimate"), rows))
+    # A query with fewer than k rows in reach has no bound.
+    ranked = near.withColumn("upto", F.sum("times").over(Window.partitionBy("query_id", "qcopy").orderBy("score", "vec_id", "copy").rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = ranked.where(F.col("upto") >= k).groupBy("query_id", "qcopy").agg(F.min("score").alias("bound"))
+    bounds = bounds.select(F.col("query_id").alias("id"), F.col("qcopy").alias("copy"), "bound")
+    asked = asked.join(bounds, ["id", "copy"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    more = grid(codes, asked, pairs, ["dim"], ["dim"], search(True), schema).drop("estimate")
+    more = more.join(near.select("query_id", "qcopy", "vec_id", "copy"), ["query_id", "qcopy", "vec_id", "copy"], "left_anti")
+    return final_top(near.unionByName(_exact(more, rows)), k, ascending=True)
+
+
+def _exact(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs with `times` and `score`, the Euclidean distance in double precision, from both original vectors."""
+    asked = rows.select(F.col("id").alias("query_id"), F.col("copy").alias("qcopy"), F.col("vec").alias("asked"))
+    found = rows.select(F.col("id").alias("vec_id"), "copy", "times", "vec")
+    both = pairs.join(asked, ["query_id", "qcopy"]).join(found, ["vec_id", "copy"]).select("query_id", "qcopy", "vec_id", "copy", "times", "asked", "vec")
+
+    def run(batches):
         for batch in batches:
-            out = []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                near = np.sqrt(((sv - np.array(v)) ** 2).sum(1))[sid != i] if len(v) == dim else np.zeros(0)
-                out.append(float(np.partition(near, k - 1)[k - 1]) if len(near) >= k else np.inf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], ["id", "vec", "copy", "bound"])
-
-    candidates = rows.select("id", "vec").mapInArrow(coded, "id long, vec array<double>, bits binary, norm double, own double")
-    asked = queries.mapInArrow(bounded, "id long, vec array<double>, copy long, bound double")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        dims_l, dims_r = np.array(pa.compute.list_value_length(left["vec"])), np.array(pa.compute.list_value_length(right["vec"]))
-        for d in np.intersect1d(dims_l, dims_r).tolist():
-            a, b = left.filter(pa.array(dims_l == d)), right.filter(pa.array(dims_r == d))
-            cid, cand, qid, query, copy = a["id"].to_numpy(), matrix(a["vec"], d), b["id"].to_numpy(), matrix(b["vec"], d), b["copy"].to_numpy()
-            if d == dim:
-                codes = (np.frombuffer(b"".join(a["bits"].to_pylist()), dtype=np.uint8).reshape(len(cid), -1), a["norm"].to_numpy(), a["own"].to_numpy())
-                qi, ids, near = search_block(cid, cand, codes, qid, query, b["bound"].to_numpy(), k, centre, turn, epsilon)
-            else:
-                qi, ci = np.nonzero(qid[:, None] != cid[None, :])
-                near = exact(query, cand, qi, ci)
-                top = best_rows(qi, cid[ci], near, k, smallest=True)
-                qi, ids, near = qi[top], cid[ci[top]], near[top]
-            for x, y in zip(out, (qid[qi], copy[qi], ids, near)):
-                x.append(y)
-        kinds = (np.int64, np.int64, np.int64, np.float64)
-        return pa.table({c: np.concatenate(x) if x else np.zeros(0, dtype=t) for c, x, t in zip(("query_id", "copy", "vec_id", "score"), out, kinds)})
-
-    partial = grid(candidates, asked, rows.count(), queries.count(), block, run, "query_id long, copy long, vec_id long, score double")
-    return final_top(partial, k, ascending=True)
+            if batch.num_rows:
+                size = np.diff(batch.column(6).offsets.to_numpy())
+                score = np.zeros(len(size))
+                for d in np.unique(size).tolist():
+                    at = pa.array(np.flatnonzero(size == d))
+                    a, b = (matrix(batch.column(c).take(at), d) for c in (5, 6))
+                    score[at.to_numpy()] = np.sqrt(((a - b) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], [*batch.schema.names[:5], "score"])
+
+    return both.mapInArrow(run, "query_id long, qcopy long, vec_id long, copy long, times long, score double")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

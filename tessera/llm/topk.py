@@ -1,29 +1,34 @@
 """Exact top-k by inner product with norm-bucketed retrieval.
 
-Candidates are grouped by length. For a query and a bucket, the score to beat divided by the
-query's length and the bucket's greatest length is the cosine that a candidate must reach there: over
-one, the bucket is skipped; if high, coordinate pruning keeps only candidates whose strongest query
-coordinates lie in the feasible interval; else length pruning keeps those long enough. What is left
-is verified with exact products.
+Candidates are grouped by length: buckets whose lengths lie within a tenth of each other, counted down from the greatest length,
+the last one open. A query's starting threshold is its k-th best score among a bounded seed of real candidates (the `seed` longest ones
+and `seed` more by a hash of the id), so it is a true lower bound and prunes without losing any result; ties with it stay. The threshold over the query's
+length is the length that a candidate needs at least, and queries are grouped by it in the same way. Before any row is
+sent, the two small tables of groups tell which meet: only where a bucket's longest vector reaches what some query of the group needs.
 
-Each query's starting threshold comes from a bounded seed of real candidates (`seed`, the first by a
-hash of the id), so it is a true lower bound and prunes without losing any result; ties with it stay.
+Where they meet, rows stand by length, in steps. The score to beat divided by the query's length and the step's greatest length is the cosine that
+a candidate must reach there: over one, the step is skipped; if high, coordinate pruning keeps only candidates whose strongest
+query coordinates lie in the feasible interval; else length pruning multiplies only the prefix of those long enough. What is left
+is verified with exact products, and thresholds rise with what is found.
 
 Rows whose vector is null, empty or holds a null or non-finite component, or whose id is null, take
 no part. Vectors meet only those of equal dimension. A row never meets rows of its own id; a row
-repeated with the same id and vector is asked once, and answers as often as it occurs. Scores are
+repeated with the same id and vector is asked once, and answers as often as it occurs. Ties go to the smaller id. An empty table gives an
+empty one; columns other than the id and the vector are not read. Scores are
 exact while every |product sum| stays below 2^53 (components below about 2^23 for 64 dimensions).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import best_rows, final_top, grid, matrix, seed_rows, valid_vectors
+from tessera.llm.common import materialize
+from tessera.llm.vectors import best_rows, counted, dealt, final_top, grid, matrix, seed_rows, valid_vectors
 
 _SLACK = 1e-9
 
@@ -36,11 +41,12 @@ def _feasible(cosine: float, along: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low - _SLACK, high + _SLACK
 
 
-def search_block(cid: np.ndarray, cand: np.ndarray, qid: np.ndarray, query: np.ndarray, theta: np.ndarray, k: int, bucket_rows: int = 512, coordinate_from: float = 0.6, probes: int = 3):
-    """(query index, candidate id, score) of the k best of this block for each query, and ties."""
+def search_block(cid: np.ndarray, cand: np.ndarray, qid: np.ndarray, query: np.ndarray, theta: np.ndarray, k: int, bucket_rows: int = 512, coordinate_from: float = 0.6, probes: int = 3, tally: dict | None = None):
+    """(query index, candidate index, score) of the k best of this block for each query. `tally` counts the exact products made."""
     length, asked = np.sqrt((cand**2).sum(1)), np.sqrt((query**2).sum(1))
     order = np.argsort(-length, kind="stable")
-    cid, cand, length, theta = cid[order], cand[order], length[order], theta.copy()
+    cid, cand, length, theta = cid[order], cand[order], length[order], theta.astype(np.float64)
+    tally = {} if tally is None else tally
     unit_q = query / np.maximum(asked, 1e-300)[:, None]
     strongest = np.argsort(-np.abs(unit_q), axis=1)[:, :probes]
     best = np.full((len(query), k), -np.inf)
@@ -49,12 +55,13 @@ def search_block(cid: np.ndarray, cand: np.ndarray, qid: np.ndarray, query: np.n
     def keep(qi: np.ndarray, ci: np.ndarray) -> None:
         if not len(qi):
             return
+        tally["verified"] = tally.get("verified", 0) + len(qi)
         score = np.concatenate([(query[qi[i : i + 65536]] * cand[ci[i : i + 65536]]).sum(1) for i in range(0, len(qi), 65536)])
         fit = (score >= theta[qi]) & (cid[ci] != qid[qi])
         qi, ci, score = qi[fit], ci[fit], score[fit]
         top = best_rows(qi, cid[ci], score, k)
         qi, ci, score = qi[top], ci[top], score[top]
-        found.append((qi, cid[ci], score))
+        found.append((qi, ci, score))
         if len(qi):
             at = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
             rank = np.arange(len(qi)) - np.repeat(at, np.diff(np.r_[at, len(qi)]))
@@ -74,10 +81,11 @@ def search_block(cid: np.ndarray, cand: np.ndarray, qid: np.ndarray, query: np.n
         by_coordinate = np.flatnonzero(live & (local >= coordinate_from))
         by_length = np.flatnonzero(live & ~(local >= coordinate_from))
         if len(by_length):
-            # length pruning: only the prefix of long enough candidates of this bucket
+            # length pruning: rows stand by length, so those long enough for the least demanding query are a prefix
             need = np.where(theta[by_length] > 0, theta[by_length] / np.maximum(asked[by_length], 1e-300), -1.0)
-            score = cand[rows] @ query[by_length].T
-            ci, at = np.nonzero((own[:, None] >= need[None, :] * (1 - _SLACK)) & (score >= theta[by_length][None, :]))
+            long = int(np.searchsorted(-own, -(need.min() * (1 - _SLACK)), "right")) if need.min() > 0 else len(own)
+            tally["products"] = tally.get("products", 0) + long * len(by_length)
+            ci, at = np.nonzero(cand[start : start + long] @ query[by_length].T >= theta[by_length][None, :])
             keep(by_length[at], ci + start)
         if len(by_coordinate):
             unit = cand[rows] / np.maximum(own, 1e-300)[:, None]
@@ -102,49 +110,70 @@ def search_block(cid: np.ndarray, cand: np.ndarray, qid: np.ndarray, query: np.n
                 keep(np.concatenate(pick_q), np.concatenate(pick_c))
     if not found:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))
-    qi, ids, score = (np.concatenate(x) for x in zip(*found))
-    top = best_rows(qi, ids, score, k)
-    return qi[top], ids[top], score[top]
+    qi, ci, score = (np.concatenate(x) for x in zip(*found))
+    top = best_rows(qi, cid[ci], score, k)
+    return qi[top], order[ci[top]], score[top]
+
+
+def _bucket(length: Column, longest: float, ratio: float = 1.1, buckets: int = 64) -> Column:
+    """0 for lengths from the greatest down to a tenth less, and so on; the last bucket is open."""
+    step = F.floor(F.log(F.lit(longest) / length) / math.log(ratio))
+    return F.when(length > 0, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), step))).otherwise(buckets - 1).cast("int")
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1024, block: int = 4096) -> DataFrame:
+def meetings(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """(dim, bucket, group, tiles, qtiles) of the buckets and query groups that must meet: at most 64 x 64 for a dimension."""
+    return candidates.join(queries, "dim").where(F.col("longest") >= F.col("need") * (1 - _SLACK)).select("dim", "bucket", "group", "tiles", "qtiles")
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1024, block: int = 8192, tally: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale * x)
-    over all other rows. `is_query` is a condition on the column `id`."""
+    over all other rows. `is_query` is a condition on the column `id`. `tally` gets the rows sent and the pairs of rows that met, of all."""
     rows = valid_vectors(df, id_col, vec_col, zero=True)
     rows = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("double")))
-    seeds = seed_rows(rows, ["id", "vec"], seed)
-    by_dim = {}
-    for r in seeds:
-        by_dim.setdefault(len(r.vec), []).append((r.id, r.vec))
+    rows = materialize(counted(rows).withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))))
+    seeds = {(r.id, tuple(r.vec)) for r in [*seed_rows(rows, seed, F.desc("length")), *seed_rows(rows, seed)]}
+    longest = rows.agg(F.max("length")).first()[0] or 1.0
+    by_dim: dict = {}
+    for i, v in seeds:
+        by_dim.setdefault(len(v), []).append((i, v))
     by_dim = {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], dtype=np.float64)) for d, x in by_dim.items()}
-    queries = rows.where(is_query).dropDuplicates(["id", "vec"])
 
     def thresholds(batches):
         for batch in batches:
-            ids, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            for i, v in zip(ids, vecs):
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 sid, sv = by_dim.get(len(v), (np.zeros(0, dtype=np.int64), np.zeros((0, len(v)))))
                 score = (sv @ np.array(v))[sid != i]
                 out.append(float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["id", "vec", "theta"])
-
-    asked = queries.select("id", "vec").mapInArrow(thresholds, "id long, vec array<double>, theta double")
-    n, m = rows.count(), queries.count()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "theta"])
+
+    asked = rows.where(is_query).select("id", "copy", "dim", "vec", "length")
+    asked = asked.mapInArrow(thresholds, "id long, copy long, dim int, vec array<double>, length double, theta double")
+    need = F.when((F.col("theta") > 0) & (F.col("length") > 0), F.col("theta") / F.col("length")).otherwise(0.0)
+    asked = materialize(asked.withColumn("need", need).withColumn("group", _bucket(need, longest)).drop("length"))
+    rows = rows.withColumn("bucket", _bucket(F.col("length"), longest))
+    rows, own = dealt(rows, rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")), ["dim", "bucket"], block, "tile")
+    asked, ask = dealt(asked, asked.groupBy("dim", "group").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")), ["dim", "group"], block, "qtile")
+    if tally is not None:
+        met = own.join(ask.withColumnRenamed("n", "m"), "dim").withColumn("met", F.col("longest") >= F.col("need") * (1 - _SLACK))
+        sums = met.agg(F.sum(F.col("n") * F.col("m")), F.sum(F.when(F.col("met"), F.col("n") * F.col("m"))), F.sum(F.when(F.col("met"), F.col("n") * F.col("qtiles") + F.col("m") * F.col("tiles"))))
+        tally.update(zip(("pairs", "met", "sent"), sums.first()))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        dims_l, dims_r = np.array(pa.compute.list_value_length(left["vec"])), np.array(pa.compute.list_value_length(right["vec"]))
-        for dim in np.intersect1d(dims_l, dims_r).tolist():
-            a, b = left.filter(pa.array(dims_l == dim)), right.filter(pa.array(dims_r == dim))
-            qid, copy = b["id"].to_numpy(), b["copy"].to_numpy()
-            qi, ids, score = search_block(a["id"].to_numpy(), matrix(a["vec"], dim), qid, matrix(b["vec"], dim), b["theta"].to_numpy(), k)
-            for x, y in zip(out, (qid[qi], copy[qi], ids, score.astype(np.int64))):
-                x.append(y)
-        return pa.table({c: np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for c, x in zip(("query_id", "copy", "vec_id", "score"), out)})
-
-    asked = asked.withColumn("copy", F.xxhash64("vec"))
-    partial = grid(rows.select("id", "vec"), asked, n, m, block, run, "query_id long, copy long, vec_id long, score long")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "qcopy", "vec_id", "times", "score")})
+        dim = left["dim"][0].as_py()
+        cid, cand, times = left["id"].to_numpy(), matrix(left["vec"], dim), left["times"].to_numpy()
+        out = []
+        for at in range(0, right.num_rows, 4096):
+            b = right.slice(at, 4096)
+            qi, ci, score = search_block(cid, cand, b["id"].to_numpy(), matrix(b["vec"], dim), b["theta"].to_numpy(), k)
+            out.append((b["id"].to_numpy()[qi], b["copy"].to_numpy()[qi], cid[ci], times[ci], score.astype(np.int64)))
+        return pa.table(dict(zip(("query_id", "qcopy", "vec_id", "times", "score"), map(np.concatenate, zip(*out)))))
+
+    rows, asked = rows.select("id", "dim", "bucket", "tile", "vec", "times"), asked.select("id", "copy", "dim", "group", "qtile", "vec", "theta")
+    partial = grid(rows, asked, meetings(own, ask), ["dim", "bucket"], ["dim", "group"], run, "query_id long, qcopy long, vec_id long, times long, score long")
     return final_top(partial, k, ascending=False)
 
 
