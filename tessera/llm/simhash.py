@@ -10,7 +10,8 @@ components are the same and a dense group of near copies costs no more than its
 
 Nulls and empty texts have no words: their fingerprint is zero and links like any other. A null
 id is kept as a row and never becomes a component id while another id is in reach. Repeated rows
-stay repeated. Extra columns are ignored.
+stay repeated. Equal distances need no rule: components don't depend on the order of links. Extra columns are not read; an empty
+table gives an empty one. A long text is hashed whole, its bits summed in blocks.
 """
 
 from __future__ import annotations
@@ -106,23 +107,19 @@ def link_fingerprints(classes: DataFrame, radius: int = 3, tile_rows: int = 2048
     cell = sum((q.cast("long") + radius) * w for q, w in zip(quarter, weight))
     cells = classes.select("fp", cell.alias("cell"))
     # At most 17^4 cells exist, so their sizes are a small table whatever the input.
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    tiles = (
-        cells.join(sizes, "cell")
-        .withColumn("tile", F.expr(f"pmod(hash(fp, 7), cast(ceil(n / {tile_rows}) as int))"))
-        .groupBy("cell", "tile")
-        .agg(F.collect_list("fp").alias("fps"))
-    )
+    sizes = materialize(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles")))
+    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.expr("pmod(hash(fp, 7), tiles)")).groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps"))
     tiles = materialize(tiles)
     offsets = [
         sum(d * w for d, w in zip(v, weight))
         for v in itertools.product(range(-radius, radius + 1), repeat=_QUARTERS)
         if sum(map(abs, v)) <= radius and (v == (0,) * _QUARTERS or next(d for d in v if d) > 0)
     ]
-    left = tiles.select(
-        F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("own_fps"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in offsets])).alias("cell")
-    )
-    pairs = left.join(tiles, "cell").where("own != cell or own_tile <= tile")
+    # A tile meets those of its own cell with a number not below its own, and all of the cells around. Pairs are dealt by cell and
+    # tile, so the fullest cell's comparisons are spread as well.
+    left = tiles.select(F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("own_fps"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in offsets])).alias("cell"))
+    left = left.join(F.broadcast(sizes), "cell").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("own != cell or own_tile <= tile")
+    pairs = left.join(tiles, ["cell", "tile"])
     pairs = pairs.select(F.expr("own = cell and own_tile = tile").alias("same"), "own_fps", "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
