@@ -1,17 +1,21 @@
 """LM scoring with Brown class-based bigrams.
 
-Words of the training texts are counted on the cluster. Exchange clustering assigns the `clustered`
-most frequent words to classes: a word moves to the class that raises the likelihood of the class bigrams
-most, until a sweep moves none or after six. With these fixed, Spark jobs move all other training words between the
-same classes by the classes of their neighbours (`spread`). Unknown words have one class, the end of a text its own. A token's probability is that of
+Words of the training texts are counted on the cluster. The most frequent of them (`dictionary`, a bounded number) are put into classes by exchange
+clustering, each moving to the class that raises the likelihood of the class bigrams most: one at a time on the driver
+for the first `clustered` as a start, then for the whole dictionary in Spark jobs over the table of its bigrams, half of the words at a time
+(moves made at once may undo each other), until a sweep gains less than a thousandth or after `sweeps`; the best classes stay. All other training
+words, however many, get the class that their neighbours' classes make likeliest, by their bigram counts in a table.
+Unknown words have one class, the end of a text its own. A token's probability is that of
 its class after the class before it, smoothed towards the class's own share, times that of the word in its class.
 
-Only the most frequent words (a bounded dictionary, with their bounded bigram counts) reach the driver and
+Only the dictionary, its classes and the class bigrams reach the driver and
 the tasks. Counts and classes of the remaining words stay in a table on the cluster, as large as the corpus makes
 it; documents join it by word, for the bigrams with rare words they hold.
 
 A null or empty text is one end token. A null id trains (held_out is false) and keeps its row. Repeated rows
-train each time and get a row each, with equal scores. With no training text every word is unknown and scores stay finite.
+train each time and get a row each, with equal scores. Words of equal count enter the dictionary by their bytes; of equally good classes the
+first is taken. With no training text every word is unknown and scores stay finite; an empty table gives an empty one. Columns other
+than the id and the text are not read. Texts are read whole, a few at a time.
 """
 
 from __future__ import annotations
@@ -240,7 +244,7 @@ def _neighbours(docs: DataFrame, text_col: str, core: dict[bytes, int], total: i
 
 
 def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
-    """(word, label): the class where each word's bigrams with its neighbours' classes are likeliest."""
+    """(word, label): the class where each word's bigrams with its neighbours' classes (word, slot, n) are likeliest."""
     total = len(between)
     used = total - 2
     after = np.log((between[:used] + 0.5) / (between[:used].sum(1) + 0.5 * total)[:, None]).T
@@ -259,63 +263,131 @@ def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
                 value = by_slot @ weight
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.argmax(1).astype(np.int32))], ["word", "label"])
 
-    summed = vectors.groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("cells")).mapInArrow(run, "word binary, label int")
+    # Dealt by word once, for both steps.
+    summed = vectors.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("cells")).mapInArrow(run, f"word {dict(vectors.dtypes)['word']}, label int")
 
 
-def spread(model: Model, counts: DataFrame, docs: DataFrame, text_col: str, smoothing: float = 20.0, rounds: int = 3, least: float = 1e-3) -> tuple[Model, DataFrame]:
-    """The model with every training word in a class, and (word, n, label) of the words outside the dictionary.
+def _bigrams(docs: DataFrame, text_col: str, ids: dict[bytes, int]) -> DataFrame:
+    """(a, b, n) of neighbours that are both in the dictionary, by id."""
+    other = len(ids)
 
-    The words clustered on the driver keep their classes; all others start in the class that their clustered
-    neighbours make likeliest and move, all at once, to the one that all their neighbours do. Rounds end when the
-    likelihood of the class bigrams rises by less than `least` of itself (or falls: the best labels stay), or
-    after `rounds`. A word never seen in training has a class of its own."""
-    between, total = model.core, len(model.core)
-    words = list(model.ids)
-    core = dict(zip(words[: model.clustered + 1], model.label[: model.clustered + 1].tolist()))
-    found = materialize(_neighbours(docs, text_col, core, total))
-    near, both = found.where("other IS NULL").select("word", "slot", "n"), found.where("other IS NOT NULL").select("word", "other", "n")
-    # Words without a clustered neighbour take part with no weight.
-    alone = both.select("word").unionByName(both.select(F.col("other").alias("word"))).select("word", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("n"))
-    labels = materialize(_choose(near.unionByName(alone), between))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array((at // other).astype(np.int32)), pa.array((at % other).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            flat, _ = _sequences(as_bytes(batch.column(0)), ids)
+            before = np.r_[0, flat[:-1]]
+            both = (before < other) & (flat < other)
+            waiting.append(before[both] * other + flat[both])
+            held += len(flat)
+            if held > 1 << 22:
+                yield flush()
+                held = 0
+        if waiting:
+            yield flush()
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a int, b int, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _vectors(pairs: DataFrame, label: np.ndarray, total: int) -> DataFrame:
+    """(word, slot, n) of the dictionary's words: class c after a word at slot c, before it at total + c. Neighbours without a class don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, where = np.unique(keys, return_inverse=True)
+            return at, np.bincount(where, n, len(at)).astype(np.int64)
+
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in range(3))
+            la, lb = label[a], label[b]
+            keys = np.r_[(a.astype(np.int64) * 2 * total + lb)[lb >= 0], (b.astype(np.int64) * 2 * total + total + la)[la >= 0]]
+            at, count = summed(keys, np.r_[n[lb >= 0], n[la >= 0]])
+            yield pa.RecordBatch.from_arrays([pa.array((at // (2 * total)).astype(np.int32)), pa.array((at % (2 * total)).astype(np.int32)), pa.array(count)], ["word", "slot", "n"])
+
+    return pairs.mapInArrow(run, "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+
+def _between(vectors: DataFrame, label: np.ndarray, total: int) -> np.ndarray:
+    """Class bigrams: the classes after each word, summed over the words of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(total * total, dtype=np.int64)
+        for batch in batches:
+            own, slot = label[batch.column(0).to_numpy()], batch.column(1).to_numpy()
+            keep = (own >= 0) & (slot < total)
+            np.add.at(cells, own[keep] * total + slot[keep], batch.column(2).to_numpy()[keep])
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+
+    out = np.zeros(total * total)
+    for x in vectors.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[x.cell] = x.n
+    return out.reshape(total, total)
+
+
+def _exchange_all(model: Model, docs: DataFrame, text_col: str, sweeps: int, least: float) -> np.ndarray:
+    """Classes of the whole dictionary by id; the end's stays."""
+    total = len(model.core)
+    label = model.label[:-1].copy()
+    label[model.clustered + 1 :] = -1
+    pairs = materialize(_bigrams(docs, text_col, model.ids))
     best = None
-    for k in range(rounds + 1):
-        joined = materialize(both.join(labels.withColumnRenamed("label", "la"), "word").join(labels.select(F.col("word").alias("other"), F.col("label").alias("lb")), "other"))
-        now = between.copy()
-        for x in near.join(labels, "word").groupBy("label", "slot").agg(F.sum("n").alias("n")).collect():
-            now[(x.label, x.slot) if x.slot < total else (x.slot - total, x.label)] += x.n
-        for x in joined.groupBy("la", "lb").agg(F.sum("n").alias("n")).collect():
-            now[x.la, x.lb] += x.n
+    for k in range(sweeps + 1):
+        vectors = materialize(_vectors(pairs, label, total))
+        between = _between(vectors, label, total)
         h = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-        gained = h(now) - h(now.sum(0)) - h(now.sum(1)) + h(now.sum())
-        small = best is not None and gained < best[0] + least * abs(best[0])
-        if best is None or gained > best[0]:
-            best = (gained, labels, now)
-        if small or k == rounds:
+        gained = h(between) - h(between.sum(0)) - h(between.sum(1)) + h(between.sum())
+        # The start has no classes but for some words, so its likelihood isn't comparable.
+        small = k > 1 and gained < best[0] + least * abs(best[0])
+        if k <= 1 or gained > best[0]:
+            best = (gained, label)
+        if k == sweeps or small:
             break
-        vectors = near.unionByName(joined.select("word", F.col("lb").alias("slot"), "n")).unionByName(joined.select(F.col("other").alias("word"), (F.col("la") + total).alias("slot"), "n"))
-        labels = materialize(_choose(vectors, now))
-    _, labels, between = best
+        label = label.copy()
+        for x in _choose(vectors, between).collect():
+            if x.word and (label[x.word] < 0 or (k and x.word % 2 == k % 2)):
+                label[x.word] = x.label
+        label[label < 0] = 0  # words that never stand beside a classed one
+    return best[1]
+
+
+def spread(model: Model, counts: DataFrame, docs: DataFrame, text_col: str, smoothing: float = 20.0, sweeps: int = 4, least: float = 1e-3) -> tuple[Model, DataFrame]:
+    """The model with every training word in a class, and (word, n, label, emit) of the words outside the dictionary.
+    A word never seen in training has a class of its own."""
+    total, words = len(model.core), list(model.ids)
+    label = _exchange_all(model, docs, text_col, sweeps, least) if len(words) > 1 else model.label[:-1]
+    found = materialize(_neighbours(docs, text_col, dict(zip(words, label.tolist())), total))
+    near, both = found.where("other IS NULL").select("word", "slot", "n"), found.where("other IS NOT NULL").select("word", "other", "n")
+    # Words without a neighbour in the dictionary take part with no weight.
+    alone = both.select("word").unionByName(both.select(F.col("other").alias("word"))).distinct().select("word", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("n"))
+    between = _between(_vectors(_bigrams(docs, text_col, model.ids), label, total), label, total)
+    table = materialize(counts.join(_choose(near.unionByName(alone), between), "word"))
+    labels = table.select("word", "label")
+    for x in near.join(labels, "word").groupBy("label", "slot").agg(F.sum("n").alias("n")).collect():
+        between[(x.label, x.slot) if x.slot < total else (x.slot - total, x.label)] += x.n
+    joined = both.join(labels.withColumnRenamed("label", "la"), "word").join(labels.select(F.col("word").alias("other"), F.col("label").alias("lb")), "other")
+    for x in joined.groupBy("la", "lb").agg(F.sum("n").alias("n")).collect():
+        between[x.la, x.lb] += x.n
     share = (between.sum(0) + 0.5) / (between.sum() + 0.5 * total)
     chance = (between + smoothing * share[None, :]) / (between.sum(1) + smoothing)[:, None]
     # No count tells where unknown words stand: after any class they have their share of the unigram base.
     unknown = min(0.5, 0.5 * 10**-model.base_norm)
     chance[:, :-1] *= (1 - unknown) / chance[:, :-1].sum(1, keepdims=True)
     chance[:, -1] = unknown
-    step = np.log10(chance)
-    table = materialize(counts.join(labels, "word"))
-    ids = docs.sparkSession.createDataFrame([(bytearray(w),) for w in words[model.clustered + 1 :]], "word binary")
-    size = np.zeros(total)
+    n = np.maximum(np.round(10 ** model.base[:-1] - 0.5), 0)
+    size = np.bincount(label, n, total)
     for x in table.groupBy("label").agg(F.sum("n").alias("n")).collect():
         size[x.label] += x.n
-    label = np.r_[model.label[: model.clustered + 1], np.full(len(words) - model.clustered, total - 1)]
-    n = np.maximum(np.round(10 ** model.base[:-1] - 0.5), 0)
-    np.add.at(size, label[: model.clustered + 1], n[: model.clustered + 1])
-    for x in table.join(F.broadcast(ids), "word").collect():
-        label[model.ids[bytes(x.word)]] = x.label
-    emit = np.r_[np.log10(np.maximum(n, 0.5) / np.maximum(size[label[:-1]], 0.5)), 0.0]
-    rare = table.join(F.broadcast(ids), "word", "left_anti").withColumn("emit", F.log10(F.col("n") / F.element_at(F.array(*map(F.lit, size.tolist())), F.col("label") + 1)))
-    return replace(model, label=label, emit=emit, step=step), rare
+    emit = np.r_[np.log10(np.maximum(n, 0.5) / np.maximum(size[label], 0.5)), 0.0]
+    rare = table.withColumn("emit", F.log10(F.col("n") / F.element_at(F.array(*map(F.lit, size.tolist())), F.col("label") + 1)))
+    return replace(model, label=np.r_[label, total - 1], emit=emit, step=np.log10(chance)), rare
 
 
 def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -342,46 +414,50 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, cols)], ["id", "h", "held_out", "n_tokens", "n_known", "n_rare", "base", "own"])
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bigrams with a word outside the dictionary: of each side the word, or the class of one inside."""
+        """Words outside the dictionary with the classes before and after them, or -1 where another such word stands; and,
+        with `other`, pairs of two such words."""
         m = shared.value
         inside = dict(zip(m.ids, m.label[:-1].tolist()))
         end = inside[_END]
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            a, ca, b, cb, times, lengths = [], [], [], [], [], []
+            columns, lengths = [[], [], [], [], []], []
             for text in as_bytes(batch.column(2)):
                 c: Counter = Counter()
-                before, outside = end, False
+                before, here, ahead = end, None, end  # the class before a token (-1 if rare); the rare word in hand, the class before it
                 for x in [*words_ascii_lower(text), _END]:
                     k = inside.get(x)
-                    if k is None or outside:
-                        c[(before if outside else None), (None if outside else before), (x if k is None else None), k] += 1
-                    before, outside = (x, True) if k is None else (k, False)
+                    if here is not None:
+                        c[here, None, ahead, -1 if k is None else k] += 1
+                        if k is None:
+                            c[x, here, None, None] += 1
+                    here, ahead, before = (x, before, -1) if k is None else (None, None, k)
                 for key, n in c.items():
-                    for column, v in zip((a, ca, b, cb), key):
+                    for column, v in zip(columns, (*key, n)):
                         column.append(v)
-                    times.append(n)
                 lengths.append(len(c))
             at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-            made = [pa.array(a, pa.binary()), pa.array(ca, pa.int32()), pa.array(b, pa.binary()), pa.array(cb, pa.int32()), pa.array(times, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], ["id", "h", "a", "ca", "word", "cb", "tf"])
+            made = [pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], ["id", "h", "word", "other", "before", "after", "tf"])
 
     kind = dict(rows.dtypes)["id"]
     summary = rows.mapInArrow(whole, f"id {kind}, h long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, own double")
-    pairs = rows.mapInArrow(rare_words, f"id {kind}, h long, a binary, ca int, word binary, cb int, tf long")
-    # A side inside the dictionary gets a key of its own that no word equals, so that the joins stay even.
-    other = len(model.core) - 1
-    spare = F.concat(F.lit(" ").cast("binary"), F.xxhash64("id", "h").cast("string").cast("binary"))
-    pairs = pairs.withColumn("ka", F.coalesce("a", spare)).withColumn("kb", F.coalesce("word", spare))
-    looked = pairs.join(classes.select(F.col("word").alias("kb"), "n", "emit", F.col("label").alias("lb")), "kb", "left").join(classes.select(F.col("word").alias("ka"), F.col("label").alias("la")), "ka", "left")
-    place = F.coalesce("ca", "la", F.lit(other)) * len(model.core) + F.coalesce("cb", "lb", F.lit(other))
-    has, tf = F.col("word").isNotNull(), F.col("tf")
-    # Rows with the same id and text have the same words: they are summed together and shared evenly below.
-    rare = looked.groupBy("id", "h", place.alias("place")).agg(
-        F.sum(F.when(F.col("n").isNotNull(), tf).otherwise(0)).alias("r_known"), F.sum(F.when(has, tf).otherwise(0)).alias("r_tokens"),
-        F.sum(F.when(has, tf * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).otherwise(0.0)).alias("r_log"), F.sum(tf * F.coalesce("emit", F.lit(0.0))).alias("r_emit"), F.sum("tf").alias("tf"),
+    found = rows.mapInArrow(rare_words, f"id {kind}, h long, word binary, other binary, before int, after int, tf long")
+    total = len(model.core)
+    steps, none = F.lit(model.step.ravel().tolist()), F.lit(total - 1)
+    step = lambda a, b: F.get(steps, a * total + b)
+    tf, label = F.col("tf"), F.coalesce("label", none)
+    alone = found.where("other IS NULL").drop("other").join(classes, "word", "left")
+    alone = alone.select(
+        "id", "h", tf.alias("r_tokens"), F.when(F.col("n").isNotNull(), tf).otherwise(0).alias("r_known"), (tf * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("r_log"),
+        (tf * (F.coalesce("emit", F.lit(0.0)) + F.when(F.col("before") >= 0, step(F.col("before"), label)).otherwise(0.0) + F.when(F.col("after") >= 0, step(label, F.col("after"))).otherwise(0.0))).alias("r_own"),
     )
-    matrix = docs.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(model.step.ravel())], "place int, step double")
-    rare = rare.join(F.broadcast(matrix), "place").groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("r_known", "r_tokens", "r_log")], F.sum(F.col("r_emit") + F.col("tf") * F.col("step")).alias("r_own"))
+    # Only pairs of two such words need a second look-up.
+    twice = found.where("other IS NOT NULL").select("id", "h", "word", "other", "tf").join(classes.select("word", "label"), "word", "left")
+    twice = twice.join(classes.select(F.col("word").alias("other"), F.col("label").alias("first")), "other", "left")
+    none_yet = [F.lit(0).cast("long").alias(c) for c in ("r_tokens", "r_known")]
+    twice = twice.select("id", "h", *none_yet, F.lit(0.0).alias("r_log"), (tf * step(F.coalesce("first", none), label)).alias("r_own"))
+    # Rows with the same id and text have the same words: they are summed together and shared evenly below.
+    rare = alone.unionByName(twice).groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("r_known", "r_tokens", "r_log", "r_own")])
     rare = rare.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "r_known", "r_tokens", "r_log", "r_own")
     both = summary.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left")
     copies = F.greatest(F.coalesce(F.col("r_tokens") / F.col("n_rare"), F.lit(1.0)), F.lit(1.0))
