@@ -9,8 +9,14 @@ holds a marker after another character, nor a character that only bytes can give
 that of its words, each found once and remembered by its task (`remember` words at most at a time). If
 a vocabulary has pieces across words, texts are searched whole.
 
-A null or empty text has no pieces. A literal marker in a text decodes to a blank, as in SentencePiece itself:
-`decoded_ok` is then false, else true. Repeated rows are encoded alike; extra columns stay out of the way.
+Texts are normalised first as the model says: its table of replacements (longest match first), runs of blanks made one and
+stripped at the ends, the marker in front. User-defined pieces stay as they are in that, and get SentencePiece's bonus. A model that puts the marker
+behind words is refused.
+
+A null or empty text has no pieces. `decoded_ok` compares with the normalised text. A literal marker in a text decodes to a blank, as in SentencePiece itself:
+`decoded_ok` is then false, else true. Repeated rows are encoded alike. Of equally good paths the first found stays, as in SentencePiece. Extra
+columns stay, whatever their names; ids, n_tokens, n_bytes and decoded_ok are replaced. An empty table gives an empty one. A very long word costs a step
+of a few array operations for each of its characters.
 """
 
 from __future__ import annotations
@@ -59,16 +65,84 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
             at += n
 
 
-def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
-    """The pieces (text, score, kind) by id, and the model's kind."""
-    pieces, kind = [], UNIGRAM
+def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int, Normalizer]:
+    """The pieces (text, score, kind) by id, the model's kind and its normaliser."""
+    pieces, kind, normal = [], UNIGRAM, {}
     for field, _, value in _fields(data):
         if field == 1:
             p = {f: v for f, _, v in _fields(value)}
             pieces.append((p[1].decode(), struct.unpack("<f", p.get(2, bytes(4)))[0], p.get(3, NORMAL)))
         elif field == 2:
-            kind = next((v for f, _, v in _fields(value) if f == 3), UNIGRAM)
-    return pieces, kind
+            trainer = {f: v for f, _, v in _fields(value)}
+            kind = trainer.get(3, UNIGRAM)
+            if trainer.get(24):
+                raise ValueError("models with the white-space marker behind words aren't supported")
+        elif field == 3:
+            normal = {f: v for f, _, v in _fields(value)}
+    own = [p for p, _, k in pieces if k == USER_DEFINED and p]
+    return pieces, kind, Normalizer(normal.get(2, b""), bool(normal.get(3, 1)), bool(normal.get(4, 1)), own)
+
+
+class Normalizer:
+    """What a model does to a text before it is cut: replacements, blanks, the marker in front.
+
+    The table of replacements is a compiled double-array trie over UTF-8 bytes: a little-endian 32-bit size, that many bytes of 32-bit units, then the
+    new strings, each closed by a zero byte. The file format fixes how a unit packs offset, label and leaf.
+    """
+
+    def __init__(self, table: bytes, prefix: bool, one_blank: bool, keep: list[str]) -> None:
+        self.prefix, self.one_blank = prefix, one_blank
+        size = struct.unpack("<I", table[:4])[0] if table else 0
+        self.units, self.strings = np.frombuffer(table[4 : 4 + size], "<u4").tolist(), table[4 + size :]
+        self.keep = re.compile("|".join(re.escape(p) for p in sorted(keep, key=len, reverse=True)).replace(MARK, " ")) if keep else None
+        self._seen: dict[str, str] = {}
+
+    def _longest(self, text: bytes, at: int) -> tuple[int, int]:
+        """Length of the longest replaced prefix from a place, and where its new string starts; 0 if none."""
+        units, found = self.units, (0, 0)
+        place = self._offset(units[0])
+        for i in range(at, len(text)):
+            place ^= text[i]
+            if place >= len(units) or units[place] & 0x800000FF != text[i]:
+                break
+            unit = units[place]
+            place ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = (i + 1 - at, units[place] & 0x7FFFFFFF)
+        return found
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def _replaced(self, part: str) -> str:
+        if not self.units or part in self._seen:
+            return self._seen.get(part, part)
+        text, out, at = part.encode("utf-8", "surrogatepass"), [], 0
+        while at < len(text):
+            n, start = self._longest(text, at)
+            if n:
+                out.append(self.strings[start : self.strings.index(0, start)])
+            else:
+                n = 1
+                while at + n < len(text) and text[at + n] & 0xC0 == 0x80:
+                    n += 1
+                out.append(text[at : at + n])
+            at += n
+        made = b"".join(out).decode("utf-8", "surrogatepass")
+        if len(self._seen) < 100_000:
+            self._seen[part] = made
+        return made
+
+    def __call__(self, text: str) -> str:
+        """The normalised text, with blanks and without the marker in front."""
+        if self.units:
+            parts = self.keep.split(text) if self.keep else [text]
+            kept = self.keep.findall(text) if self.keep else []
+            # Replacements of one blank-free part don't depend on others: none of the standard tables has a blank within.
+            fresh = ["".join(map(self._replaced, re.findall(" +|[^ ]+", p))) for p in parts]
+            text = "".join(x for pair in zip(fresh, [*kept, ""]) for x in pair)
+        return re.sub(" {2,}", " ", text).strip(" ") if self.one_blank else text
 
 
 def zipf(ranks: np.ndarray) -> np.ndarray:
@@ -152,18 +226,23 @@ class Unigram:
     """Encoder and decoder of one vocabulary; sent to the tasks whole (a vocabulary's size is bounded)."""
 
     def __init__(self, data: bytes, remember: int = 200_000) -> None:
-        pieces, kind = read_model(data)
+        pieces, kind, self.normal = read_model(data)
         self.pieces, self.remember = pieces, remember
         scores = np.array([s for _, s, _ in pieces], dtype=np.float64)
         usable = [i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER_DEFINED) and p]
         if kind != UNIGRAM:
             scores[usable] = zipf(-np.minimum(scores[usable], 0))
+        normal = [i for i, (p, _, k) in enumerate(pieces) if k == NORMAL and p]
+        highest = scores[normal].max() if normal else 0.0
+        for i in usable:
+            if pieces[i][2] == USER_DEFINED:
+                scores[i] = len(pieces[i][0].encode()) * highest - 0.1
         self.scores = scores.astype(np.float32)
-        self.unknown = np.float32(self.scores[usable].min() - np.float32(_UNKNOWN_PENALTY))
+        self.unknown = np.float32(self.scores[normal or usable].min() - np.float32(_UNKNOWN_PENALTY))
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unk_id = next((i for i, (_, _, k) in enumerate(pieces) if k == 2), 0)
         self.trie = DoubleArray.build({pieces[i][0]: i for i in usable})
-        self.by_word = not any(MARK in pieces[i][0].lstrip(MARK) for i in usable)
+        self.by_word = not any(MARK in pieces[i][0].lstrip(MARK) or "\n" in pieces[i][0] for i in usable)
         self._raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k in (NORMAL, USER_DEFINED) else b"" for p, _, k in pieces]
         self._cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", re.S)
         self._known: dict[str, bytes] = {}
@@ -235,7 +314,8 @@ class Unigram:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        texts = [self.normal(t) if t else "" for t in texts]
+        marked = [(MARK if self.normal.prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
         cut = [self._cut.findall(t) if self.by_word else [t] if t else [] for t in marked]
         fresh = {w for words in cut for w in words} - self._known.keys()
         if len(self._known) + len(fresh) > self.remember:
@@ -253,7 +333,7 @@ class Unigram:
     def decode(self, ids: np.ndarray) -> str:
         raw = self._raw
         text = b"".join([raw[i] for i in ids.tolist()])
-        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+        return (text[1:] if text[:1] == b" " and self.normal.prefix else text).decode("utf-8", "replace")
 
 
 def load(spark, path: str = DEFAULT_MODEL) -> Unigram:
@@ -280,7 +360,7 @@ def tokenize(docs: DataFrame, model: Unigram, text_col: str = "text") -> DataFra
                 all_ids.append(ids)
                 sizes.append(len(ids))
                 falls.append(int(is_byte[ids].sum()))
-                same.append(m.decode(ids) == (text or ""))
+                same.append(m.decode(ids) == (m.normal(text) if text else ""))
         m.forget()
         flat = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), pa.int32())
         ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
