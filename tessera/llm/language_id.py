@@ -8,7 +8,8 @@ N-grams are of lower-cased letters, anything else being one blank between words;
 blank only at its ends. Ties among n-grams go to smaller code points, ties among languages to the smaller name.
 
 A null text, one without a letter, or any text when nothing was learned, gives `und` and score 0. Rows with a
-null language or text teach nothing. Repeated rows count each time. Extra columns are ignored.
+null language or text teach nothing. Repeated rows count each time. Extra columns aren't read; an empty table gives no profiles and no
+rows. A text is read whole, a few at a time: its n-grams take some fifty bytes a character.
 The languages' profiles (`profile` n-grams for each of at most `max_languages`) are all that reaches the driver.
 """
 

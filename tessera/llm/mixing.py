@@ -9,7 +9,8 @@ where the quota ends. The document there is taken in part, so that each quota is
 
 Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in order. Repeated rows count each
 time; where the cut falls on rows that are the same, they share it evenly. A document's `taken` never
-exceeds `repeats` times its size. Reruns agree, whatever the partitioning.
+exceeds `repeats` times its size. Reruns agree, whatever the partitioning. An empty table gives an empty one. Texts of any length are only
+counted. Extra columns stay, whatever their names; mix_size and mix_taken are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, quoted, unwrapped
 
 _STEP = 10  # bits of the hash that each round of the radix search looks at
 
@@ -131,9 +132,9 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     `members` is an array column: the sources to which a document belongs.
     """
     spark = docs.sparkSession
-    size = word_count(F.col(text_col).cast("string")).alias("size")
+    size = word_count(F.col(quoted(text_col)).cast("string")).alias("size")
     pattern = F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"}).alias("pattern")
-    order = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 1).alias("order")
+    order = F.shiftrightunsigned(F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)), F.lit(seed)), 1).alias("order")
     rows = materialize(docs.select(pattern, size, order))
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -156,10 +157,10 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     plan = [(p, full, *cuts.get(p, (-1, 0))) for p, full in plan]
     plan = spark.createDataFrame(plan, "pattern string, full long, cut long, part long")
     plan = F.broadcast(plan.select(F.col("pattern").alias("mix_pattern"), F.col("full").alias("mix_full"), F.col("cut").alias("mix_cut"), F.col("part").alias("mix_part")))
-    made = docs.withColumns({"mix_pattern": pattern, "mix_size": size, "mix_order": order}).join(plan, "mix_pattern")
+    made = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), pattern.alias("mix_pattern"), size.alias("mix_size"), order.alias("mix_order")).join(plan, "mix_pattern")
     last = F.when(F.col("mix_order") < F.col("mix_cut"), F.col("mix_size")).when(F.col("mix_order") == F.col("mix_cut"), F.least("mix_size", "mix_part")).otherwise(0)
-    made = made.withColumn("mix_taken", F.col("mix_full") * F.col("mix_size") + last)
-    return made.drop("mix_pattern", "mix_order", "mix_full", "mix_cut", "mix_part"), {s: (sizes[s], float(wanted[s])) for s in sizes}
+    made = unwrapped(made, mix_size=F.col("mix_size"), mix_taken=F.col("mix_full") * F.col("mix_size") + last)
+    return made, {s: (sizes[s], float(wanted[s])) for s in sizes}
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

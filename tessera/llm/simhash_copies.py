@@ -15,7 +15,8 @@ radius that a pair at the wanted similarity exceeds about once in 200 times. Thr
    pair of tiles gives a spanning forest, so a dense group of copies costs no more links than members.
 
 A null or empty text has no shingles; all such texts are copies of each other. A text of fewer words than a shingle is one
-shingle. Of each group the row with the smallest id stays (null ids last); of identical rows one.
+shingle. Of each group the row with the smallest id stays (null ids last); of identical rows one. Extra columns stay, whatever their names.
+An empty table gives an empty one. Long texts are hashed whole, one at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, connected_components, materialize, slices, words_ascii_lower
+from tessera.llm.common import as_bytes, connected_components, materialize, quoted, slices, unwrapped, words_ascii_lower
 
 _SEED = 42
 
@@ -198,8 +199,8 @@ def _tile_links(classes: DataFrame, group: str | None, radius: int, similarity:
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch: int = 256, tile_rows: int = 4096) -> DataFrame:
     """(key, keeps): a key for each different row (id and text), and whether it is its group's one to stay."""
-    rows = docs.select(F.col(id_col).alias("id"), text_col, row_key(id_col, text_col).alias("key"))
-    made = materialize(profiles(rows, "key", text_col, shingle, sketch))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), row_key(id_col, text_col).alias("key"))
+    made = materialize(profiles(rows, "key", "text", shingle, sketch))
     made = made.withColumn("cid", F.xxhash64("a", "b", "n"))
     radius = radius_for(similarity)
     classes = materialize(made.groupBy("cid").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
@@ -212,12 +213,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with one row of each group of near copies."""
-    kept = copies(docs, id_col, text_col, **settings).withColumnRenamed("key", "_key").distinct()
-    left = docs.withColumn("_key", row_key(id_col, text_col)).join(kept, "_key", "left_semi")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
+    left = rows.join(copies(docs, id_col, text_col, **settings).distinct(), "key", "left_semi")
     # Identical rows have one key; the join has them in one partition already.
-    return left.dropDuplicates(["_key"]).drop("_key")
+    return unwrapped(left.dropDuplicates(["key"]).drop("key"))
