@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, quality, secrets, sentencepiece_unigram, simhash_copies
-from tessera.llm.common import scratch_path, table
+from tessera.llm.common import scratch_path, table, unwrapped, wrapped
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by source to the target weights: a row for each time that the mix takes a document, at most
     three; one taken in part counts as taken. Documents that it doesn't take go."""
-    made, _ = mixing.mix(docs, F.array("source"))
+    rows = wrapped(docs).select("row", "row.doc_id", "row.text", "row.source")
+    made, _ = mixing.mix(rows, F.array("source"))
     times = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    taken = made.where("mix_taken > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return taken.select(docs.columns)
+    return unwrapped(made.where("mix_taken > 0").select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
