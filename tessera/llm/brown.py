@@ -1,16 +1,16 @@
 """LM scoring with Brown class-based bigrams.
 
-Words of the training texts are counted on the cluster. The most frequent of them (`dictionary`, a bounded number) are put into classes by exchange
+Words of the training texts are counted on the cluster. The most frequent ones are put into classes by exchange
 clustering, each moving to the class that raises the likelihood of the class bigrams most: one at a time on the driver
-for the first `clustered` as a start, then for the whole dictionary in Spark jobs over the table of its bigrams, half of the words at a time
-(moves made at once may undo each other), until a sweep gains less than a thousandth or after `sweeps`; the best classes stay. All other training
-words, however many, get the class that their neighbours' classes make likeliest, by their bigram counts in a table.
+for the first `clustered` as a start, then for the first `exchanged` in Spark jobs over the table of their bigrams, half of the words at a time
+(moves made at once may undo each other), until a sweep gains less than a thousandth or after `sweeps`; the best classes stay. Every other training
+word, however many there are, gets the class that its exchanged neighbours make likeliest, by its bigram counts in a table.
 Unknown words have one class, the end of a text its own. A token's probability is that of
-its class after the class before it, smoothed towards the class's own share, times that of the word in its class.
+its class after the class before it, smoothed towards the class's own share, times that of the word in its class. Class bigrams are counted over
+all neighbours in all training texts, once every word has its class.
 
-Only the dictionary, its classes and the class bigrams reach the driver and
-the tasks. Counts and classes of the remaining words stay in a table on the cluster, as large as the corpus makes
-it; documents join it by word, for the bigrams with rare words they hold.
+The driver and the tasks hold the classes and counts of the `dictionary` most frequent words only (a bounded number). Those of the remaining words stay
+in a table on the cluster, as large as the corpus makes it; the rare words of the documents join it, a row for each place where one stands.
 
 A null or empty text is one end token. A null id trains (held_out is false) and keeps its row. Repeated rows
 train each time and get a row each, with equal scores. Words of equal count enter the dictionary by their bytes; of equally good classes the
@@ -20,6 +20,7 @@ than the id and the text are not read. Texts are read whole, a few at a time.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, materialize, slices, words_ascii_lower
+from tessera.llm.common import as_bytes, materialize, quoted, slices, words_ascii_lower
 
 _END = b""  # no word is empty
 _FLUSH = 1 << 18
@@ -118,129 +119,101 @@ def exchange(bigrams: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int =
 @dataclass
 class Model:
     ids: dict[bytes, int]  # dictionary words; the end token is 0, any other word len(ids)
-    known: np.ndarray  # by id: 1 where the count is over 0
-    base: np.ndarray  # by id: log10(count + 0.5); 0 for words outside the dictionary
-    emit: np.ndarray  # by id: log10 of the word in its class; 0 for words outside
-    label: np.ndarray  # class by id
+    n: np.ndarray  # training counts by id
+    label: np.ndarray  # class by id, the last one that of words outside
     step: np.ndarray  # log10 of each class after each class
+    emit: np.ndarray  # by id: log10 of the word in its class; 0 for words outside
     tokens: int  # training tokens
-    base_norm: float  # log10 of the base's denominator
-    rare_norm: float  # the same within the class of all other words
-    clustered: int = 0  # the ids up to this one have their classes by exchange on the driver
-    core: np.ndarray | None = None  # bigrams among these, by class (words' classes, then the end's and unknown words')
+    types: int  # different ones
+    exchanged: int  # the ids up to this one have their classes by exchange
+    between: np.ndarray  # class bigrams
+
+    @property
+    def total(self) -> int:
+        """Number of classes: the words', then the end's, then that of unknown words."""
+        return len(self.step)
+
+    @property
+    def base_norm(self) -> float:
+        return float(np.log10(self.tokens + 0.5 * (self.types + 1)))
 
 
-def _sequences(texts: list[bytes], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all tokens of some texts, each text's closed by the end's 0, and each text's number of tokens."""
-    other, get, flat, lengths = len(ids), ids.get, [], []
+def _sequences(texts: list[bytes], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids of all tokens of some texts, each text's closed by the end's 0, each text's number of tokens, and the tokens."""
+    other, get, tokens, lengths = len(ids), ids.get, [], []
     for t in texts:
         w = words_ascii_lower(t)
-        flat += [get(x, other) for x in w]
-        flat.append(0)
+        tokens += w
+        tokens.append(_END)
         lengths.append(len(w) + 1)
-    return np.array(flat, dtype=np.int64), np.array(lengths, dtype=np.int64)
+    return np.array([get(x, other) for x in tokens], dtype=np.int64), np.array(lengths, dtype=np.int64), tokens
 
 
-def train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 2048, dictionary: int = 50_000, classes: int = 64, smoothing: float = 20.0) -> Model:
-    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(dictionary).collect()
-    ends = counts.where(F.length("word") == 0).collect()
-    ids = {_END: 0} | {bytes(r.word): i + 1 for i, r in enumerate(top)}
-    n = np.array([ends[0].n if ends else 0, *(r.n for r in top)], dtype=np.float64)
-    rare = len(ids)
-    # Units of the bigram counts: end, the words to cluster, frequency bands of the dictionary's rest, all other words.
-    band = np.zeros(rare + 1, dtype=np.int64)
-    first = min(clustered, rare - 1)
-    band[: first + 1] = np.arange(first + 1)
-    if rare > first + 1:
-        level = np.floor(np.log2(n[first + 1 :])).astype(np.int64)
-        _, level = np.unique(-level, return_inverse=True)
-        band[first + 1 : rare] = first + 1 + level
-    units = int(band[:rare].max(initial=0)) + 2
-    band[rare] = units - 1
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, column)
+
+
+def _bigrams(docs: DataFrame, text_col: str, ids: dict[bytes, int]) -> DataFrame:
+    """(a, b, n) of neighbours that both have an id."""
+    other, shared = len(ids), docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(units * units, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, 0):
-                flat, _ = _sequences(as_bytes(part.column(0)), ids)
-                unit = np.r_[0, band[flat]]
-                pair = unit[:-1] * units + unit[1:]
-                at, k = np.unique(pair, return_counts=True)
-                seen[at] += k
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["pair", "n"])
-
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(units * units, dtype=np.float64)
-    bigrams[found["pair"].to_numpy()] = found["n"].to_numpy()
-    bigrams = bigrams.reshape(units, units)
-    used = min(classes, max(1, first))
-    fixed = np.full(units, -1)
-    fixed[0] = used
-    fixed[first + 1 :] = used + 1 + np.arange(units - first - 1)
-    label_of_unit = exchange(bigrams, fixed, used)
-    total = int(label_of_unit.max()) + 1
-    member = np.zeros((units, total))
-    member[np.arange(units), label_of_unit] = 1
-    between = member.T @ bigrams @ member
-    share = (between.sum(0) + 0.5) / (between.sum() + 0.5 * total)
-    step = np.log10((between + smoothing * share[None, :]) / (between.sum(1) + smoothing)[:, None])
-    label = label_of_unit[band]
-    size = np.bincount(label[:rare], n, total)
-    in_class = np.maximum(n, 0.5) / np.maximum(size[label[:rare]], 0.5)
-    rare_n, rare_v = tokens - n.sum(), types - (n > 0).sum()
-    return Model(
-        ids, np.r_[n > 0, False].astype(np.int64), np.r_[np.log10(n + 0.5), 0.0], np.r_[np.log10(in_class), 0.0], label, step, int(tokens),
-        float(np.log10(tokens + 0.5 * (types + 1))), float(np.log10(rare_n + 0.5 * (rare_v + 1))), first, _core(bigrams[: first + 1, : first + 1], label_of_unit[: first + 1], used),
-    )
+        waiting, held = [], 0
 
+        def flush() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array((at // other).astype(np.int32)), pa.array((at % other).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
-def _core(bigrams: np.ndarray, label: np.ndarray, used: int) -> np.ndarray:
-    member = np.zeros((len(label), used + 2))
-    member[np.arange(len(label)), label] = 1
-    return member.T @ bigrams @ member
+        for batch in _parts(batches, 0):
+            flat, _, _ = _sequences(as_bytes(batch.column(0)), shared.value)
+            before = np.r_[0, flat[:-1]]
+            both = (before < other) & (flat < other)
+            waiting.append(before[both] * other + flat[both])
+            held += len(flat)
+            if held > 1 << 23:
+                yield flush()
+                held = 0
+        if waiting:
+            yield flush()
 
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a int, b int, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-def _neighbours(docs: DataFrame, text_col: str, core: dict[bytes, int], total: int) -> DataFrame:
-    """(word, other, slot, n) for the words outside `core`: pairs of two such words in order, or (other is null)
-    a word and the class of its neighbour, slot c after it and total + c before it."""
-    end = core[_END]
+
+def _between(pairs: DataFrame, label: np.ndarray, total: int) -> np.ndarray:
+    """Class bigrams of pairs whose words both have a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: Counter = Counter()
-        both: Counter = Counter()
+        cells = np.zeros(total * total, dtype=np.int64)
+        for batch in batches:
+            a, b = label[batch.column(0).to_numpy()], label[batch.column(1).to_numpy()]
+            keep = (a >= 0) & (b >= 0)
+            np.add.at(cells, a[keep] * total + b[keep], batch.column(2).to_numpy()[keep])
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
 
-        def flush() -> pa.RecordBatch:
-            words = [k[0] for k in near] + [k[0] for k in both]
-            others, slots = [None] * len(near) + [k[1] for k in both], [k[1] for k in near] + [None] * len(both)
-            out = [pa.array(words, pa.binary()), pa.array(others, pa.binary()), pa.array(slots, pa.int32()), pa.array([*near.values(), *both.values()], pa.int64())]
-            near.clear()
-            both.clear()
-            return pa.RecordBatch.from_arrays(out, ["word", "other", "slot", "n"])
+    out = np.zeros(total * total)
+    for x in pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[x.cell] = x.n
+    return out.reshape(total, total)
 
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            for text in as_bytes(batch.column(0)):
-                before, outside = end, False
-                for x in [*words_ascii_lower(text), _END]:
-                    c = core.get(x)
-                    if c is None:
-                        if outside:
-                            both[before, x] += 1
-                        else:
-                            near[x, total + before] += 1
-                        before, outside = x, True
-                    else:
-                        if outside:
-                            near[before, c] += 1
-                        before, outside = c, False
-                if len(near) + len(both) > _FLUSH:
-                    yield flush()
-        if near or both:
-            yield flush()
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, other binary, slot int, n long")
-    return found.groupBy("word", "other", "slot").agg(F.sum("n").alias("n"))
+def _vectors(pairs: DataFrame, label: np.ndarray, total: int, moves: np.ndarray) -> DataFrame:
+    """(word, slot, n) of the words that may move: class c after a word at slot c, before it at total + c. Neighbours without a class don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in range(3))
+            la, lb = label[a], label[b]
+            after, ahead = moves[a] & (lb >= 0), moves[b] & (la >= 0)
+            keys = np.r_[(a.astype(np.int64) * 2 * total + lb)[after], (b.astype(np.int64) * 2 * total + total + la)[ahead]]
+            at, where = np.unique(keys, return_inverse=True)
+            count = np.bincount(where, np.r_[n[after], n[ahead]], len(at)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // (2 * total)).astype(np.int32)), pa.array((at % (2 * total)).astype(np.int32)), pa.array(count)], ["word", "slot", "n"])
+
+    return pairs.mapInArrow(run, "word int, slot int, n long")
 
 
 def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
@@ -268,207 +241,271 @@ def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
     return summed.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("cells")).mapInArrow(run, f"word {dict(vectors.dtypes)['word']}, label int")
 
 
-def _bigrams(docs: DataFrame, text_col: str, ids: dict[bytes, int]) -> DataFrame:
-    """(a, b, n) of neighbours that are both in the dictionary, by id."""
-    other = len(ids)
+def _likelihood(between: np.ndarray) -> float:
+    h = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return float(h(between) - h(between.sum(0)) - h(between.sum(1)) + h(between.sum()))
+
+
+def _exchange_all(pairs: DataFrame, label: np.ndarray, total: int, sweeps: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words of the pairs (those at -1 have none yet; the first, the end, stays) and the class bigrams."""
+    fresh = label < 0
+    best = None
+    for k in range(sweeps + 1):
+        between = _between(pairs, label, total)
+        # The start has no classes but for some words, so its likelihood isn't comparable.
+        gained = _likelihood(between) if k else -np.inf
+        if best is None or gained > best[0]:
+            small = k > 1 and gained < best[0] + least * abs(best[0])
+            best = (gained, label, between)
+        else:
+            small = True
+        if k == sweeps or small or len(label) < 2:
+            break
+        moves = fresh.copy() if not k and fresh.any() else np.arange(len(label)) % 2 == k % 2
+        moves[0] = False
+        label = label.copy()
+        for x in _choose(_vectors(pairs, label, total, moves), between).collect():
+            label[x.word] = x.label
+        label[label < 0] = 0  # words that never stand beside a classed one
+    return best[1], best[2]
+
+
+def _outside(docs: DataFrame, text_col: str, ids: dict[bytes, int], label: np.ndarray, total: int) -> DataFrame:
+    """(id, word, before, after, n) of the words without a class yet: the id of those in the dictionary, the word itself of others; and the classes
+    on both sides, or -1."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    exchanged, other = len(label), len(ids)
+    classes = np.r_[label, np.full(other + 1 - exchanged, -1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         waiting, held = [], 0
+        empty = lambda n, t: pa.nulls(n, t)
 
-        def flush() -> pa.RecordBatch:
-            at, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array((at // other).astype(np.int32)), pa.array((at % other).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+        def of(keys: np.ndarray) -> list[pa.Array]:
+            return [pa.array((keys // (total + 1) - 1).astype(np.int32)), pa.array((keys % (total + 1) - 1).astype(np.int32))]
 
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            flat, _ = _sequences(as_bytes(batch.column(0)), ids)
-            before = np.r_[0, flat[:-1]]
-            both = (before < other) & (flat < other)
-            waiting.append(before[both] * other + flat[both])
-            held += len(flat)
-            if held > 1 << 22:
-                yield flush()
+        def flush_words() -> pa.RecordBatch:
+            words, around = zip(*seen)
+            out = [empty(len(words), pa.int32()), pa.array(words, pa.binary()), *of(np.array(around, dtype=np.int64)), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(out, ["id", "word", "before", "after", "n"])
+
+        def flush_ids() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            width = (total + 1) ** 2
+            return pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), empty(len(keys), pa.binary()), *of(keys % width), pa.array(n)], ["id", "word", "before", "after", "n"])
+
+        for batch in _parts(batches, 0):
+            flat, _, tokens = _sequences(as_bytes(batch.column(0)), shared.value)
+            cls = classes[flat]
+            at = np.flatnonzero(flat >= exchanged)
+            before = np.where(at > 0, cls[at - 1], label[0])
+            around = (before + 1) * (total + 1) + cls[np.minimum(at + 1, len(cls) - 1)] + 1
+            rare = flat[at] == other
+            seen.update(zip([tokens[i] for i in at[rare].tolist()], around[rare].tolist()))
+            waiting.append(flat[at[~rare]] * (total + 1) ** 2 + around[~rare])
+            held += len(waiting[-1])
+            if len(seen) > 2 * _FLUSH:
+                yield flush_words()
+            if held > 1 << 21:
+                yield flush_ids()
                 held = 0
+        if seen:
+            yield flush_words()
         if waiting:
-            yield flush()
+            yield flush_ids()
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a int, b int, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "id int, word binary, before int, after int, n long")
 
 
-def _vectors(pairs: DataFrame, label: np.ndarray, total: int) -> DataFrame:
-    """(word, slot, n) of the dictionary's words: class c after a word at slot c, before it at total + c. Neighbours without a class don't count."""
+def _by_neighbours(outside: DataFrame, key: str, total: int, between: np.ndarray) -> DataFrame:
+    """(word, label) of words by the classes on both sides of them; words with none take part with no weight."""
+    rows = outside.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("word"), "before", "after").agg(F.sum("n").alias("n"))
+    slots = F.array_compact(F.array(F.when(F.col("after") >= 0, F.col("after")), F.when(F.col("before") >= 0, F.col("before") + total)))
+    slots = F.when(F.size(slots) > 0, F.transform(slots, lambda s: F.struct(s.alias("slot"), F.col("n").alias("n")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).cast("long").alias("n"))))
+    return _choose(rows.select("word", F.explode(slots).alias("x")).select("word", "x.slot", "x.n"), between)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at, where = np.unique(keys, return_inverse=True)
-            return at, np.bincount(where, n, len(at)).astype(np.int64)
 
-        for batch in batches:
-            a, b, n = (batch.column(c).to_numpy() for c in range(3))
-            la, lb = label[a], label[b]
-            keys = np.r_[(a.astype(np.int64) * 2 * total + lb)[lb >= 0], (b.astype(np.int64) * 2 * total + total + la)[la >= 0]]
-            at, count = summed(keys, np.r_[n[lb >= 0], n[la >= 0]])
-            yield pa.RecordBatch.from_arrays([pa.array((at // (2 * total)).astype(np.int32)), pa.array((at % (2 * total)).astype(np.int32)), pa.array(count)], ["word", "slot", "n"])
+def train(counts: DataFrame, docs: DataFrame, text_col: str, **settings) -> Model:
+    """The model with a class for each dictionary word; its transitions are those of the exchanged words yet."""
+    return _train(counts, docs, text_col, **settings)[0]
 
-    return pairs.mapInArrow(run, "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+def _train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 2048, exchanged: int = 20_000, dictionary: int = 400_000, classes: int = 64, smoothing: float = 20.0, sweeps: int = 3, least: float = 1e-3) -> tuple[Model, DataFrame]:
+    """The same, and the table of `_outside`."""
+    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(dictionary).toArrow()
+    ends = counts.where(F.length("word") == 0).collect()
+    ids = {_END: 0} | {w: i for i, w in enumerate(top["word"].to_pylist(), 1)}
+    n = np.r_[float(ends[0].n if ends else 0), top["n"].to_numpy().astype(np.float64)]
+    some = dict(itertools.islice(ids.items(), exchanged + 1))
+    first, used = min(clustered, len(ids) - 1), min(classes, max(1, min(clustered, len(ids) - 1)))
+    total = used + 2
+    pairs = materialize(_bigrams(docs, text_col, some))
+    bigrams = np.zeros((first + 1, first + 1))
+    near = pairs.where((F.col("a") <= first) & (F.col("b") <= first)).toArrow()
+    bigrams[near["a"].to_numpy(), near["b"].to_numpy()] = near["n"].to_numpy()
+    fixed = np.full(first + 1, -1)
+    fixed[0] = used
+    label = np.r_[exchange(bigrams, fixed, used), np.full(len(some) - first - 1, -1)]
+    label, between = _exchange_all(pairs, label, total, sweeps, least)
+    outside = materialize(_outside(docs, text_col, ids, label, total))
+    label = np.r_[label, np.zeros(len(ids) - len(label), dtype=label.dtype)]
+    if len(some) < len(ids):
+        found = _by_neighbours(outside, "id", total, between).toArrow()
+        label[found["word"].to_numpy()] = found["label"].to_numpy()
+    model = Model(ids, n, np.r_[label, total - 1], between, np.zeros(len(ids) + 1), int(tokens), int(types), len(some) - 1, between)
+    return _estimated(model, between, np.bincount(label, n, total), smoothing), outside.where("word IS NOT NULL")
+
+
+def _estimated(model: Model, between: np.ndarray, size: np.ndarray, smoothing: float) -> Model:
+    """The model with transitions and emissions from class bigrams and the classes' sizes."""
+    total = len(between)
+    share = (between.sum(0) + 0.5) / (between.sum() + 0.5 * total)
+    chance = (between + smoothing * share[None, :]) / (between.sum(1) + smoothing)[:, None]
+    # No count tells where unknown words stand: after any class they have their share of the unigram base.
+    unknown = min(0.5, 0.5 * 10**-model.base_norm)
+    chance[:, :-1] *= (1 - unknown) / chance[:, :-1].sum(1, keepdims=True)
+    chance[:, -1] = unknown
+    label = model.label[:-1]
+    emit = np.r_[np.log10(np.maximum(model.n, 0.5) / np.maximum(size[label], 0.5)), 0.0]
+    return replace(model, step=np.log10(chance), emit=emit, between=between)
 
 
-def _between(vectors: DataFrame, label: np.ndarray, total: int) -> np.ndarray:
-    """Class bigrams: the classes after each word, summed over the words of a class."""
+def _places(rows: DataFrame, model: Model) -> DataFrame:
+    """One pass over rows (key, text, held_out): class bigrams of neighbours in the dictionary in training texts (cell, n); each place of
+    a word outside it, with the classes on both sides or -1 (key, held_out, word, before, after); and pairs of two such words (the first is `other`)."""
+    shared, total = rows.sparkSession.sparkContext.broadcast(model), model.total
+    schema = "key long, held_out boolean, word binary, other binary, before int, after int, cell long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(total * total, dtype=np.int64)
-        for batch in batches:
-            own, slot = label[batch.column(0).to_numpy()], batch.column(1).to_numpy()
-            keep = (own >= 0) & (slot < total)
-            np.add.at(cells, own[keep] * total + slot[keep], batch.column(2).to_numpy()[keep])
+        m, cells = shared.value, np.zeros(total * total, dtype=np.int64)
+        other = len(m.ids)
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        none = lambda k, t: pa.nulls(k, t)
+
+        def of(batch: pa.RecordBatch, own: np.ndarray, words: list, others: list | None, before=None, after=None) -> pa.RecordBatch:
+            k, at = len(words), pa.array(own)
+            side = lambda x: none(k, pa.int32()) if x is None else pa.array(x.astype(np.int32))
+            made = [batch.column(0).take(at), batch.column(2).take(at), pa.array(words, pa.binary()), none(k, pa.binary()) if others is None else pa.array(others, pa.binary()), side(before), side(after), none(k, pa.int64()), none(k, pa.int64())]
+            return pa.RecordBatch.from_arrays(made, names)
+
+        for batch in _parts(batches, 1):
+            flat, lengths, tokens = _sequences(as_bytes(batch.column(1)), m.ids)
+            cls = m.label[flat]
+            rare = flat == other
+            cls[rare] = -1
+            before = np.r_[m.label[0], cls[:-1]]
+            train = np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), lengths)
+            both = train & (cls >= 0) & (before >= 0)
+            cells += np.bincount(before[both] * total + cls[both], minlength=total * total)
+            at = np.flatnonzero(rare)
+            if len(at):
+                own = np.repeat(np.arange(len(lengths)), lengths)
+                # A text ends with the end token, so a place after a word is in the same text.
+                yield of(batch, own[at], [tokens[i] for i in at.tolist()], None, before[at], cls[at + 1])
+                two = at[1:][np.diff(at) == 1]
+                yield of(batch, own[two], [tokens[i] for i in two.tolist()], [tokens[i - 1] for i in two.tolist()])
         at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+        k = len(at)
+        made = [none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.int32()), none(k, pa.int32()), pa.array(at), pa.array(cells[at])]
+        yield pa.RecordBatch.from_arrays(made, names)
 
-    out = np.zeros(total * total)
-    for x in vectors.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[x.cell] = x.n
-    return out.reshape(total, total)
+    return rows.select("key", "text", "held_out").mapInArrow(run, schema)
 
 
-def _exchange_all(model: Model, docs: DataFrame, text_col: str, sweeps: int, least: float) -> np.ndarray:
-    """Classes of the whole dictionary by id; the end's stays."""
-    total = len(model.core)
-    label = model.label[:-1].copy()
-    label[model.clustered + 1 :] = -1
-    pairs = materialize(_bigrams(docs, text_col, model.ids))
-    best = None
-    for k in range(sweeps + 1):
-        vectors = materialize(_vectors(pairs, label, total))
-        between = _between(vectors, label, total)
-        h = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-        gained = h(between) - h(between.sum(0)) - h(between.sum(1)) + h(between.sum())
-        # The start has no classes but for some words, so its likelihood isn't comparable.
-        small = k > 1 and gained < best[0] + least * abs(best[0])
-        if k <= 1 or gained > best[0]:
-            best = (gained, label)
-        if k == sweeps or small:
-            break
-        label = label.copy()
-        for x in _choose(vectors, between).collect():
-            if x.word and (label[x.word] < 0 or (k and x.word % 2 == k % 2)):
-                label[x.word] = x.label
-        label[label < 0] = 0  # words that never stand beside a classed one
-    return best[1]
+def _looked_up(places: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """Each place of a rare word with its count and class, and each pair of two with both classes; without the words."""
+    none = F.lit(total - 1)
+    alone = places.where("word IS NOT NULL AND other IS NULL").select("key", "held_out", "word", "before", "after").join(table, "word", "left")
+    alone = alone.select("key", "held_out", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("label", none).alias("label"), "before", "after")
+    labels = table.select("word", "label")
+    twice = places.where("other IS NOT NULL").select("key", "held_out", "word", "other").join(labels, "word", "left")
+    twice = twice.join(labels.select(F.col("word").alias("other"), F.col("label").alias("first")), "other", "left")
+    # A pair has no count: it is the step from `before` to `label` alone.
+    twice = twice.select("key", "held_out", F.lit(None).cast("long").alias("n"), F.coalesce("label", none).alias("label"), F.coalesce("first", none).alias("before"), F.lit(-1).alias("after"))
+    return alone.unionByName(twice)
+
+
+def _complete(model: Model, counts: DataFrame, outside: DataFrame, rows: DataFrame, smoothing: float) -> tuple[Model, DataFrame, DataFrame, np.ndarray]:
+    """The model over all bigrams, (word, n, label) of the words outside the dictionary, what `_looked_up` gives, and the classes' sizes."""
+    total = model.total
+    table = materialize(counts.join(_by_neighbours(outside, "word", total, model.between), "word"))
+    places = materialize(_places(rows, model))
+    found = materialize(_looked_up(places, table, total))
+    between = np.zeros((total, total))
+    for x in places.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        between[divmod(x.cell, total)] += x.n
+    # Of a place both steps count, of a pair its one; at most total x total rows a side.
+    trained = found.where("NOT held_out")
+    for x in trained.where("before >= 0").groupBy("before", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        between[x.before, x.label] += x.n
+    for x in trained.where("after >= 0").groupBy("label", "after").agg(F.count(F.lit(1)).alias("n")).collect():
+        between[x.label, x.after] += x.n
+    size = np.bincount(model.label[:-1], model.n, total)
+    for x in table.groupBy("label").agg(F.sum("n").alias("n")).collect():
+        size[x.label] += x.n
+    return _estimated(model, between, size, smoothing), table, found, np.maximum(size, 0.5)
 
 
-def spread(model: Model, counts: DataFrame, docs: DataFrame, text_col: str, smoothing: float = 20.0, sweeps: int = 4, least: float = 1e-3) -> tuple[Model, DataFrame]:
+def spread(model: Model, counts: DataFrame, docs: DataFrame, text_col: str, smoothing: float = 20.0) -> tuple[Model, DataFrame]:
     """The model with every training word in a class, and (word, n, label, emit) of the words outside the dictionary.
     A word never seen in training has a class of its own."""
-    total, words = len(model.core), list(model.ids)
-    label = _exchange_all(model, docs, text_col, sweeps, least) if len(words) > 1 else model.label[:-1]
-    found = materialize(_neighbours(docs, text_col, dict(zip(words, label.tolist())), total))
-    near, both = found.where("other IS NULL").select("word", "slot", "n"), found.where("other IS NOT NULL").select("word", "other", "n")
-    # Words without a neighbour in the dictionary take part with no weight.
-    alone = both.select("word").unionByName(both.select(F.col("other").alias("word"))).distinct().select("word", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("n"))
-    between = _between(_vectors(_bigrams(docs, text_col, model.ids), label, total), label, total)
-    table = materialize(counts.join(_choose(near.unionByName(alone), between), "word"))
-    labels = table.select("word", "label")
-    for x in near.join(labels, "word").groupBy("label", "slot").agg(F.sum("n").alias("n")).collect():
-        between[(x.label, x.slot) if x.slot < total else (x.slot - total, x.label)] += x.n
-    joined = both.join(labels.withColumnRenamed("label", "la"), "word").join(labels.select(F.col("word").alias("other"), F.col("label").alias("lb")), "other")
-    for x in joined.groupBy("la", "lb").agg(F.sum("n").alias("n")).collect():
-        between[x.la, x.lb] += x.n
-    share = (between.sum(0) + 0.5) / (between.sum() + 0.5 * total)
-    chance = (between + smoothing * share[None, :]) / (between.sum(1) + smoothing)[:, None]
-    # No count tells where unknown words stand: after any class they have their share of the unigram base.
-    unknown = min(0.5, 0.5 * 10**-model.base_norm)
-    chance[:, :-1] *= (1 - unknown) / chance[:, :-1].sum(1, keepdims=True)
-    chance[:, -1] = unknown
-    n = np.maximum(np.round(10 ** model.base[:-1] - 0.5), 0)
-    size = np.bincount(label, n, total)
-    for x in table.groupBy("label").agg(F.sum("n").alias("n")).collect():
-        size[x.label] += x.n
-    emit = np.r_[np.log10(np.maximum(n, 0.5) / np.maximum(size[label], 0.5)), 0.0]
-    rare = table.withColumn("emit", F.log10(F.col("n") / F.element_at(F.array(*map(F.lit, size.tolist())), F.col("label") + 1)))
-    return replace(model, label=np.r_[label, total - 1], emit=emit, step=np.log10(chance)), rare
+    rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held_out"))
+    outside = materialize(_outside(docs, text_col, model.ids, model.label[: model.exchanged + 1], model.total)).where("word IS NOT NULL")
+    model, table, _, size = _complete(model, counts, outside, rows, smoothing)
+    return model, table.withColumn("emit", F.log10(F.col("n") / F.get(F.array(*map(F.lit, size.tolist())), F.col("label"))))
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 20.0, **settings) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of
     docs; the rows where `trains` holds are learned from. Scores are log10 probabilities."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"), (~F.coalesce(trains, F.lit(True))).alias("held_out"))
+    text = F.col(quoted(text_col))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(id_col)), text).alias("key"), text.cast("string").alias("text"), (~F.coalesce(trains, F.lit(True))).alias("held_out"))
     training = rows.where("NOT held_out")
     counts = materialize(count_tokens(training, "text"))
-    model, classes = spread(train(counts, training, "text", **settings), counts, training, "text", **{k: v for k, v in settings.items() if k == "smoothing"})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, outside = _train(counts, training, "text", smoothing=smoothing, **settings)
+    model, _, found, size = _complete(model, counts, outside, rows, smoothing)
+    shared, total = docs.sparkSession.sparkContext.broadcast(model), model.total
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in (part for whole in batches for part in slices(whole, 2)):
-            flat, lengths = _sequences(as_bytes(batch.column(2)), m.ids)
+        base, known = np.r_[np.log10(m.n + 0.5), 0.0], np.r_[m.n > 0, False]
+        for batch in _parts(batches, 2):
+            flat, lengths, _ = _sequences(as_bytes(batch.column(2)), m.ids)
             at = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
             cls = m.label[flat]
             before = np.r_[m.label[0], cls[:-1]]
             add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]
             rare = flat == len(m.ids)
-            # Bigrams with a word outside the dictionary are scored below.
+            # Steps to and from a word outside the dictionary come from its look-up.
             plain = ~(rare | np.r_[False, rare[:-1]])
-            cols = [lengths, add(m.known[flat]), add(rare.astype(np.int64)), add(m.base[flat]), add(np.where(rare, 0.0, m.emit[flat]) + np.where(plain, m.step[before, cls], 0.0))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, cols)], ["id", "h", "held_out", "n_tokens", "n_known", "n_rare", "base", "own"])
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words outside the dictionary with the classes before and after them, or -1 where another such word stands; and,
-        with `other`, pairs of two such words."""
-        m = shared.value
-        inside = dict(zip(m.ids, m.label[:-1].tolist()))
-        end = inside[_END]
-        for batch in (part for whole in batches for part in slices(whole, 2)):
-            columns, lengths = [[], [], [], [], []], []
-            for text in as_bytes(batch.column(2)):
-                c: Counter = Counter()
-                before, here, ahead = end, None, end  # the class before a token (-1 if rare); the rare word in hand, the class before it
-                for x in [*words_ascii_lower(text), _END]:
-                    k = inside.get(x)
-                    if here is not None:
-                        c[here, None, ahead, -1 if k is None else k] += 1
-                        if k is None:
-                            c[x, here, None, None] += 1
-                    here, ahead, before = (x, before, -1) if k is None else (None, None, k)
-                for key, n in c.items():
-                    for column, v in zip(columns, (*key, n)):
-                        column.append(v)
-                lengths.append(len(c))
-            at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-            made = [pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], ["id", "h", "word", "other", "before", "after", "tf"])
+            cols = [lengths, add(known[flat].astype(np.int64)), add(rare.astype(np.int64)), add(base[flat]), add(np.where(rare, 0.0, m.emit[flat]) + np.where(plain, m.step[before, cls], 0.0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, cols)], ["id", "key", "held_out", "n_tokens", "n_known", "n_rare", "base", "own"])
 
     kind = dict(rows.dtypes)["id"]
-    summary = rows.mapInArrow(whole, f"id {kind}, h long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, own double")
-    found = rows.mapInArrow(rare_words, f"id {kind}, h long, word binary, other binary, before int, after int, tf long")
-    total = len(model.core)
-    steps, none = F.lit(model.step.ravel().tolist()), F.lit(total - 1)
-    step = lambda a, b: F.get(steps, a * total + b)
-    tf, label = F.col("tf"), F.coalesce("label", none)
-    alone = found.where("other IS NULL").drop("other").join(classes, "word", "left")
-    alone = alone.select(
-        "id", "h", tf.alias("r_tokens"), F.when(F.col("n").isNotNull(), tf).otherwise(0).alias("r_known"), (tf * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("r_log"),
-        (tf * (F.coalesce("emit", F.lit(0.0)) + F.when(F.col("before") >= 0, step(F.col("before"), label)).otherwise(0.0) + F.when(F.col("after") >= 0, step(label, F.col("after"))).otherwise(0.0))).alias("r_own"),
+    summary = rows.mapInArrow(whole, f"id {kind}, key long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, own double")
+    steps, width = F.lit(model.step.ravel().tolist()), F.lit(total)
+    step = lambda a, b: F.when((a >= 0) & (b >= 0), F.get(steps, a * width + b)).otherwise(0.0)
+    before, label, after, n = F.col("before"), F.col("label"), F.col("after"), F.col("n")
+    emit = F.when(n > 0, F.log10(n / F.get(F.lit(size.tolist()), label))).otherwise(0.0)
+    rare = found.select(
+        "key", n.isNotNull().cast("int").alias("r_tokens"), F.coalesce((n > 0).cast("int"), F.lit(0)).alias("r_known"),
+        F.coalesce(F.log10(n + 0.5), F.lit(0.0)).alias("r_log"), (F.coalesce(emit, F.lit(0.0)) + step(before, label) + step(label, after)).alias("r_own"),
     )
-    # Only pairs of two such words need a second look-up.
-    twice = found.where("other IS NOT NULL").select("id", "h", "word", "other", "tf").join(classes.select("word", "label"), "word", "left")
-    twice = twice.join(classes.select(F.col("word").alias("other"), F.col("label").alias("first")), "other", "left")
-    none_yet = [F.lit(0).cast("long").alias(c) for c in ("r_tokens", "r_known")]
-    twice = twice.select("id", "h", *none_yet, F.lit(0.0).alias("r_log"), (tf * step(F.coalesce("first", none), label)).alias("r_own"))
     # Rows with the same id and text have the same words: they are summed together and shared evenly below.
-    rare = alone.unionByName(twice).groupBy("id", "h").agg(*[F.sum(c).alias(c) for c in ("r_known", "r_tokens", "r_log", "r_own")])
-    rare = rare.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "r_known", "r_tokens", "r_log", "r_own")
-    both = summary.join(rare, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left")
+    rare = rare.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("r_known", "r_tokens", "r_log", "r_own")])
+    both = summary.join(rare, "key", "left")
     copies = F.greatest(F.coalesce(F.col("r_tokens") / F.col("n_rare"), F.lit(1.0)), F.lit(1.0))
-    extra = F.coalesce(F.col("r_log") / copies, F.lit(0.0))
     out = both.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce(F.round(F.col("r_known") / copies).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(model.base_norm)).alias("base_score"),
+        (F.col("base") + F.coalesce(F.col("r_log") / copies, F.lit(0.0)) - F.col("n_tokens") * F.lit(model.base_norm)).alias("base_score"),
         (F.col("own") + F.coalesce(F.col("r_own") / copies, F.lit(0.0))).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
@@ -479,4 +516,3 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     return score(table(spark, sf_dir, "documents"), ~held_out)
-
