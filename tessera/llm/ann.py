@@ -1,9 +1,10 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-Vectors of a dimension are centred (on the mean, for the commonest dimension), turned by one random rotation (fixed seed) and kept as the
-packed signs of their coordinates plus two scalars: the distance to the centre, and the inner product
+Vectors of a dimension are centred (on the mean, for the commonest dimension), turned by `turns` independent random rotations (fixed seeds) and kept as the
+packed signs of their coordinates plus scalars: the distance to the centre, and for each rotation the inner product
 of the unit vector with its own code. A query is turned likewise and rounded to four bits a coordinate, so its product with a code
-is four bitwise-and population counts over packed words. The two scalars correct that to an estimate of the distance with a standard error.
+is four bitwise-and population counts over packed words. The scalars correct that to an estimate of the distance with a standard error;
+the mean over the rotations has half the error with four of them, at 32 bytes for 64 dimensions.
 
 Only codes and scalars are sent to meet the queries, not vectors, and twice. First each query's `first` nearest by estimate are fetched
 and reranked on the original vectors: their k-th distance is a true upper bound. Then all candidates whose lower bound (`epsilon`
@@ -31,18 +32,18 @@ from tessera.llm.vectors import counted, dealt, final_top, grid, matrix, valid_v
 _PLANES = 4  # bits of a query's coordinate
 
 
-@functools.lru_cache(8)
-def rotation(dim: int, seed: int = 7) -> np.ndarray:
+@functools.lru_cache(64)
+def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def _turned(vectors: np.ndarray, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rotated unit vectors from the centre, and the distances to it."""
+def _unit(vectors: np.ndarray, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors from the centre, and the distances to it."""
     rest = vectors if centre is None else vectors - centre
     norm = np.sqrt((rest**2).sum(1))
-    return (rest / np.maximum(norm, 1e-300)[:, None]) @ rotation(vectors.shape[1]), norm
+    return rest / np.maximum(norm, 1e-300)[:, None], norm
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -51,37 +52,42 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(out, ((0, 0), (0, -out.shape[1] % 8)))).view(np.uint64)
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, distance to the centre, and the unit vector's product with its code."""
-    unit, norm = _turned(vectors, centre)
-    own = np.abs(unit).sum(1) / np.sqrt(vectors.shape[1])
-    return _packed(unit > 0), norm, np.maximum(own, 1e-12)
+def encode(vectors: np.ndarray, centre: np.ndarray | None, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs (the words of one rotation after those of the other), distance to the centre, and the unit vector's product with each code."""
+    unit, norm = _unit(vectors, centre)
+    turned = [unit @ rotation(vectors.shape[1], r) for r in range(turns)]
+    own = np.stack([np.abs(t).sum(1) for t in turned], axis=1) / np.sqrt(vectors.shape[1])
+    return np.concatenate([_packed(t > 0) for t in turned], axis=1), norm, np.maximum(own, 1e-12)
 
 
 def estimates(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, query: np.ndarray, centre: np.ndarray | None, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of the squared distances and their lower bounds, queries by candidates, from packed words and scalars alone."""
-    dim = query.shape[1]
-    unit, q_norm = _turned(query, centre)
-    low = unit.min(1)
-    step = np.maximum((unit.max(1) - low) / (2**_PLANES - 1), 1e-300)
-    level = np.rint((unit - low[:, None]) / step[:, None]).astype(np.int64)
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int32)
-    dot = np.zeros((len(query), len(codes)), dtype=np.int32)
-    for j in range(_PLANES):
-        plane = _packed((level >> j) & 1)
-        for w in range(codes.shape[1]):
-            dot += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << j
-    # A code's signs are 2 * bit - 1; a coordinate is low + step * level.
-    signs = 2 * (step[:, None] * dot + low[:, None] * ones[None, :]) - (step * level.sum(1) + low * dim)[:, None]
-    product = signs / np.sqrt(dim) / own[None, :]
-    # The part of a unit vector across its code, and the rounding of the query's coordinates.
-    error = epsilon * np.sqrt(np.maximum(0, 1 - own**2)[None, :] / max(1, dim - 1) + (step**2 / 12)[:, None]) / own[None, :]
+    dim, turns = query.shape[1], own.shape[1]
+    width = codes.shape[1] // turns
+    flat, q_norm = _unit(query, centre)
+    product, variance = np.zeros((len(query), len(codes))), np.zeros((len(query), len(codes)))
+    for r in range(turns):
+        unit, words = flat @ rotation(dim, r), codes[:, r * width : (r + 1) * width]
+        low = unit.min(1)
+        step = np.maximum((unit.max(1) - low) / (2**_PLANES - 1), 1e-300)
+        level = np.rint((unit - low[:, None]) / step[:, None]).astype(np.int64)
+        ones = np.bitwise_count(words).sum(1, dtype=np.int32)
+        dot = np.zeros((len(query), len(codes)), dtype=np.int32)
+        for j in range(_PLANES):
+            plane = _packed((level >> j) & 1)
+            for w in range(width):
+                dot += np.bitwise_count(plane[:, w, None] & words[None, :, w]).astype(np.int32) << j
+        # A code's signs are 2 * bit - 1; a coordinate is low + step * level.
+        signs = 2 * (step[:, None] * dot + low[:, None] * ones[None, :]) - (step * level.sum(1) + low * dim)[:, None]
+        product += signs / np.sqrt(dim) / own[None, :, r] / turns
+        # The part of a unit vector across its code, and the rounding of the query's coordinates.
+        variance += (np.maximum(0, 1 - own[:, r] ** 2)[None, :] / max(1, dim - 1) + (step**2 / 12)[:, None]) / own[None, :, r] ** 2 / turns**2
     base, scale = norm[None, :] ** 2 + q_norm[:, None] ** 2, 2 * norm[None, :] * q_norm[:, None]
     estimate = base - scale * product
-    return estimate, estimate - scale * error
+    return estimate, estimate - scale * epsilon * np.sqrt(variance)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = 1.9, first: int = 40, block: int = 65_536, query_block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = 1.9, first: int = 80, turns: int = 4, block: int = 65_536, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, nearest first."""
     rows = materialize(counted(valid_vectors(df, id_col, vec_col, zero=False)))
     common = rows.groupBy("dim").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
@@ -94,14 +100,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     def coded(batches):
         for batch in batches:
             dims = batch.column(2).to_numpy()
-            bits, norm, own = np.empty(len(dims), dtype=object), np.zeros(len(dims)), np.ones(len(dims))
+            bits, norm, own = np.empty(len(dims), dtype=object), np.zeros(len(dims)), np.ones((len(dims), turns), dtype=np.float32)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                words, norm[at], own[at] = encode(matrix(batch.column(3).take(pa.array(at)), d), centre_of(d))
+                words, norm[at], own[at] = encode(matrix(batch.column(3).take(pa.array(at)), d), centre_of(d), turns)
                 bits[at] = [w.tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits, pa.binary()), pa.array(norm.astype(np.float32)), pa.array(own.astype(np.float32))], ["id", "copy", "dim", "bits", "norm", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits, pa.binary()), pa.array(norm.astype(np.float32)), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "copy", "dim", "bits", "norm", "own"])
 
-    codes = materialize(rows.select("id", "copy", "dim", "vec").mapInArrow(coded, "id long, copy long, dim int, bits binary, norm float, own float"))
+    codes = materialize(rows.select("id", "copy", "dim", "vec").mapInArrow(coded, "id long, copy long, dim int, bits binary, norm float, own binary"))
     asked = rows.where(is_query).select("id", "copy", "dim", "vec")
     # Dimensions aren't grouped further, so there is one row of sizes for each.
     codes, sizes = dealt(codes, codes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), ["dim"], block, "tile")
@@ -117,7 +123,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
             if left.num_rows and right.num_rows:
                 d = left["dim"][0].as_py()
                 words = np.frombuffer(b"".join(left["bits"].to_pylist()), dtype=np.uint64).reshape(left.num_rows, -1)
-                cid, copy, norm, own = left["id"].to_numpy(), left["copy"].to_numpy(), left["norm"].to_numpy().astype(np.float64), left["own"].to_numpy().astype(np.float64)
+                cid, copy, norm = left["id"].to_numpy(), left["copy"].to_numpy(), left["norm"].to_numpy().astype(np.float64)
+                own = np.frombuffer(b"".join(left["own"].to_pylist()), dtype=np.float32).reshape(left.num_rows, turns).astype(np.float64)
                 for at in range(0, right.num_rows, 32):
                     b = right.slice(at, 32)
                     qid, qcopy = b["id"].to_numpy(), b["copy"].to_numpy()
