@@ -1,7 +1,7 @@
 """Exact top-k by inner product with norm-bucketed retrieval.
 
 Candidates are grouped by length: buckets whose lengths lie within a tenth of each other, counted down from the greatest length,
-the last one open. A query's starting threshold is its k-th best score among a bounded seed of real candidates (the `seed` longest ones
+the last one open; small buckets are put together with the next. A query's starting threshold is its k-th best score among a bounded seed of real candidates (the `seed` longest ones
 and `seed` more by a hash of the id), so it is a true lower bound and prunes without losing any result; ties with it stay. The threshold over the query's
 length is the length that a candidate needs at least, and queries are grouped by it in the same way. Before any row is
 sent, the two small tables of groups tell which meet: only where a bucket's longest vector reaches what some query of the group needs.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.vectors import best_rows, counted, dealt, final_top, grid, matrix, seed_rows, valid_vectors
+from tessera.llm.vectors import best_rows, counted, dealt, filled, final_top, grid, matrix, seed_rows, valid_vectors
 
 _SLACK = 1e-9
 
@@ -151,8 +151,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
     asked = rows.where(is_query).select("id", "copy", "dim", "vec", "length")
     asked = asked.mapInArrow(thresholds, "id long, copy long, dim int, vec array<double>, length double, theta double")
     need = F.when((F.col("theta") > 0) & (F.col("length") > 0), F.col("theta") / F.col("length")).otherwise(0.0)
-    asked = materialize(asked.withColumn("need", need).withColumn("group", _bucket(need, longest)).drop("length"))
-    rows = rows.withColumn("bucket", _bucket(F.col("length"), longest))
+    asked = filled(materialize(asked.withColumn("need", need).withColumn("group", _bucket(need, longest)).drop("length")), "group", block)
+    rows = filled(rows.withColumn("bucket", _bucket(F.col("length"), longest)), "bucket", block)
     rows, own = dealt(rows, rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")), ["dim", "bucket"], block, "tile")
     asked, ask = dealt(asked, asked.groupBy("dim", "group").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")), ["dim", "group"], block, "qtile")
     if tally is not None:

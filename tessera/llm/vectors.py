@@ -43,6 +43,16 @@ def dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], block: int, tile:
     return out.withColumn(tile, F.pmod(F.xxhash64("id", "copy", F.lit(tile)), F.col(f"{tile}s")).cast("int")).drop(f"{tile}s"), sizes
 
 
+def filled(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows with small groups of a dimension put together with their neighbours, until they hold `block` rows; a group is then named by its first.
+    There are few groups (`group` is a bounded number), so their sizes are a small table."""
+    sizes = rows.groupBy("dim", group).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = sizes.withColumn("part", F.floor(before / block))
+    to = part.withColumn("to", F.min(group).over(Window.partitionBy("dim", "part"))).select("dim", group, "to")
+    return rows.join(F.broadcast(to), ["dim", group]).drop(group).withColumnRenamed("to", group)
+
+
 def grid(candidates: DataFrame, queries: DataFrame, pairs: DataFrame, own: list[str], asked: list[str], run: Callable, schema: str) -> DataFrame:
     """Each tile of candidates meets each tile of queries of the groups that `pairs` (small: broadcast) brings together, each pair in a task's
     group of its own. `own` and `asked` are the columns of `pairs` that name the groups; it also has the numbers of tiles (tiles, qtiles)."""
