@@ -165,13 +165,13 @@ _pipe("union_with", "nation", [{"$project": {"name": "$n_name"}}, {"$unionWith":
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS parent FROM nation),
+WITH RECURSIVE e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 4 END AS parent FROM orders),
 w AS (SELECT id AS start, id, parent, 0 AS depth FROM e UNION ALL SELECT w.start, e.id, e.parent, w.depth + 1 FROM w JOIN e ON e.id = w.parent)
-SELECT start AS n_nationkey, count(*) AS n, max(depth) AS deepest FROM w WHERE id <> start OR depth = 0 GROUP BY 1""")
+SELECT start AS o_orderkey, count(*) AS n, max(depth) AS deepest FROM w GROUP BY 1""")
 def graph_lookup(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_id"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("parent"))
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderkey") > 0, F.floor(F.col("o_orderkey") / 4)).alias("parent"))
     out = aggregate(nodes, [{"$graphLookup": {"from": "nodes", "startWith": "$_id", "connectFromField": "parent", "connectToField": "_id", "as": "path", "depthField": "depth"}}], {"nodes": nodes})
-    return out.select(F.col("_id").alias("n_nationkey"), F.size("path").cast("long").alias("n"), F.array_max(F.transform("path", lambda p: p["depth"])).cast("int").alias("deepest"))
+    return out.select(F.col("_id").alias("o_orderkey"), F.size("path").cast("long").alias("n"), F.array_max(F.transform("path", lambda p: p["depth"])).cast("int").alias("deepest"))
 
 
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -202,9 +202,18 @@ def lww_unique_keys(spark, sf_dir):
     return versioned.latest(_log(spark, sf_dir), unique=True).select("_id", "_seq", "value")
 
 
-@query(f"WITH {_SQL_LOG} " + _NEWEST.format(where=" WHERE _seq <= 500"))
+_HALF = "(SELECT max(event_id) // 2 FROM events)"
+
+
+def _half(log: DataFrame) -> int:
+    """The number in the middle of a log."""
+    return log.agg(F.max("_seq")).first()[0] // 2
+
+
+@query(f"WITH {_SQL_LOG} " + _NEWEST.format(where=f" WHERE _seq <= {_HALF}"))
 def as_of_sequence(spark, sf_dir):
-    return versioned.as_of(_log(spark, sf_dir), seq=500).select("_id", "_seq", "value")
+    log = _log(spark, sf_dir)
+    return versioned.as_of(log, seq=_half(log)).select("_id", "_seq", "value")
 
 
 @query(f"WITH {_SQL_LOG} " + _NEWEST.format(where=" WHERE _ts <= TIMESTAMP '2024-01-05 00:00:00'"))
@@ -234,13 +243,14 @@ def change_events(spark, sf_dir):
     return out.select("token", "document_key", "operation_type", F.array_contains("updated_fields", "value").alias("value_updated"))
 
 
-@query(f"""WITH {_SQL_LOG}, base AS ({_NEWEST.format(where=' WHERE _seq <= 5000')}), own AS (SELECT * FROM log WHERE _seq > 5000 AND _id % 3 = 0),
+@query(f"""WITH {_SQL_LOG}, base AS ({_NEWEST.format(where=f' WHERE _seq <= {_HALF}')}), own AS (SELECT * FROM log WHERE _seq > {_HALF} AND event_type <> 'click'),
 shown AS (SELECT _id, _seq, _op, value FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _seq DESC) AS r FROM own) WHERE r = 1)
 SELECT _id, value FROM base WHERE _id NOT IN (SELECT _id FROM shown) UNION ALL SELECT _id, value FROM shown WHERE _op <> 'd'""")
 def branch_scan(spark, sf_dir):
     log = _log(spark, sf_dir)
-    base = versioned.as_of(log, seq=5000).select("_id", "value")
-    branch = versioned.dedup(log.where("_seq > 5000 AND _id % 3 = 0"), keep_deletes=True).select("_id", "_op", "value")
+    half = _half(log)
+    base = versioned.as_of(log, seq=half).select("_id", "value")
+    branch = versioned.dedup(log.where((F.col("_seq") > half) & (F.col("event_type") != "click")), keep_deletes=True).select("_id", "_op", "value")
     return versioned.overlay(base, branch)
 
 
@@ -401,7 +411,8 @@ def windowed_event_counts(spark, sf_dir):
     return out.select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
-@query()
+@query("SELECT count(*) AS rows, count(DISTINCT user_id) AS keys, 1 AS shards_per_key, true AS in_range FROM events")
 def shard_balance(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("shard", versioned.shard_of(F.col("user_id")))
-    return events.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    per_key = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("shards"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+    return per_key.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.max("shards").cast("int").alias("shards_per_key"), ((F.min("low") >= 0) & (F.max("high") < 16)).alias("in_range"))

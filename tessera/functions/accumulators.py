@@ -23,10 +23,10 @@ def number(column: Column, kind: T.DataType | None) -> Column:
 
 
 class Accumulators:
-    """`order` is the key of the preceding sort as (column, ascending) pairs; `$first`, `$last`, `$push` and
+    """`order` is the key of the preceding sort as (column, ascending, type) triples; `$first`, `$last`, `$push` and
     `$addToSet` depend on it, and without it their order is not determined."""
 
-    def __init__(self, expressions: Expressions, schema: T.StructType, order: list[tuple[Column, bool]] | None = None, sql_avg: bool = False, strict_order: bool = True) -> None:
+    def __init__(self, expressions: Expressions, schema: T.StructType, order: list[tuple[Column, bool, T.DataType]] | None = None, sql_avg: bool = False, strict_order: bool = True) -> None:
         self.expressions, self.schema, self.order, self.sql_avg, self.strict_order = expressions, schema, order, sql_avg, strict_order
 
     def _kind(self, spec: object) -> T.DataType | None:
@@ -71,21 +71,40 @@ class Accumulators:
             if self.strict_order:
                 raise ValueError("$first and $last need a $sort before $group")
             return F.first(value) if first else F.last(value)
-        ups = {up for _, up in self.order}
-        if len(ups) == 1:
-            key = F.struct(*[c for c, _ in self.order])
-            pick = F.min_by if first == ups.pop() else F.max_by
-            return pick(F.struct(value.alias("v")), key).getField("v")
-        items = self._collected(value)
-        return F.get(items, 0) if first else F.try_element_at(items, F.lit(-1))
+        # The least row under keys that all rise: those that fall are turned round. Aggregated on the map side, nothing is gathered.
+        key = F.struct(*[self._rising(c, up, kind) for c, up, kind in self.order])
+        pick = F.min_by if first else F.max_by
+        return pick(F.struct(value.alias("v")), key).getField("v")
+
+    @staticmethod
+    def _rising(column: Column, up: bool, kind: T.DataType) -> Column:
+        """A key in whose rising order the column rises with nulls first, or falls with nulls last."""
+        if up:
+            return column
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            turned = -column.cast("double")
+        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            turned = F.bitwise_not(column.cast("long"))
+        elif isinstance(kind, T.DecimalType):
+            turned = -column
+        elif isinstance(kind, T.BooleanType):
+            turned = ~column
+        elif isinstance(kind, T.DateType):
+            turned = -F.unix_date(column)
+        elif isinstance(kind, T.TimestampType):
+            turned = -F.unix_micros(column)
+        else:
+            # Bytes as hexadecimal digits, each turned round; the end stands behind all digits, so a longer text comes before its beginning.
+            turned = F.concat(F.translate(F.hex(F.to_binary(column.cast("string"), F.lit("utf-8"))), "0123456789ABCDEF", "fedcba9876543210"), F.lit("g"))
+        return F.struct(column.isNull().alias("none"), turned.alias("turned"))
 
     def _collected(self, value: Column) -> Column:
         """Values in sort order, nulls kept."""
         if not self.order:
             return F.transform(F.collect_list(F.struct(value.alias("v"))), lambda s: s["v"])
-        keys = [c.alias(f"k{i}") for i, (c, _) in enumerate(self.order)]
+        keys = [c.alias(f"k{i}") for i, (c, _, _) in enumerate(self.order)]
         items = F.collect_list(F.struct(*keys, value.alias("v")))
-        ups = [up for _, up in self.order]
+        ups = [up for _, up, _ in self.order]
         if all(ups) or not any(ups):
             # The value is part of the struct but never decides, unless keys tie.
             ordered = F.sort_array(items, asc=ups[0])

@@ -22,8 +22,12 @@ from tessera.functions.fields import Fields, kind_of
 MAX_PATTERN = 1000
 _RANGE = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 _GEO = {"$near", "$nearSphere", "$geoWithin", "$geoIntersects", "$minDistance", "$maxDistance"}
-#: Type names of the `$type` operator (fixed values).
-TYPE_NAMES = {"double": "number", "int": "number", "long": "number", "decimal": "number", "number": "number", "string": "string", "bool": "boolean", "date": "date", "timestamp": "date", "array": "array", "object": "object"}
+#: Names of the `$type` operator: the bracket and, for numbers, the Spark types (fixed values).
+TYPE_NAMES = {
+    "double": ("number", ("double", "float")), "int": ("number", ("int", "smallint", "tinyint")), "long": ("number", ("bigint",)), "decimal": ("number", ("decimal",)),
+    "number": ("number", None), "string": ("string", None), "bool": ("boolean", None), "date": ("date", None), "timestamp": ("date", ("timestamp", "timestamp_ntz")), "array": ("array", None), "object": ("object", None),
+    "binData": ("binary", None),
+}
 
 
 def true(c: Column) -> Column:
@@ -85,7 +89,7 @@ class FilterCompiler:
             return self._true(self.expression(value).cast("boolean"))
         if key == "$text":
             if self.text is None:
-                raise ValueError("$text needs a text index: use search")
+                raise ValueError("$text needs a text index, or the names of the fields to search (text=...)")
             return self.text(value)
         if key.startswith("$"):
             raise ValueError(f"unknown top-level operator {key}")
@@ -240,12 +244,28 @@ class FilterCompiler:
             if n == "null":
                 out = out | self._equal(path, None)
             elif n in TYPE_NAMES:
-                out = out | (self._is(path, TYPE_NAMES[n]) & self.fields.exists(path))
+                bracket, kinds = TYPE_NAMES[n]
+                out = out | (self._is(path, bracket) & self._of_kind(path, kinds) & self.fields.exists(path))
             else:
                 raise ValueError(f"unknown type {n!r}")
         return out
 
+    def _of_kind(self, path: str, kinds: tuple[str, ...] | None) -> Column:
+        """Whether the field has one of the Spark types. A VARIANT's whole numbers are stored as narrow as they fit, so there the value decides between int and long."""
+        if kinds is None:
+            return F.lit(True)
+        if self.fields.in_variant(path):
+            kind = F.lower(F.regexp_extract(F.schema_of_variant(self.fields.col(path)), "^[A-Za-z_]+", 0))
+            small = F.abs(self.fields.variant_value(path, "double")) < 2.0**31
+            kind = F.when(kind.isin("bigint", "int", "smallint", "tinyint"), F.when(small, "int").otherwise("bigint")).otherwise(kind)
+            return self._true(kind.isin(*kinds))
+        kind = self.fields.type_of(path)
+        return F.lit(kind is not None and kind.simpleString().split("(")[0] in kinds)
+
     def _elem_match(self, path: str, query: dict) -> Column:
+        if self.fields.in_variant(path):
+            array = F.when(self._is(path, "array"), self.fields.variant_value(path, "array<variant>"))
+            return self._true(F.exists(array, lambda x: _VariantElement(x, self).matches(query)))
         kind = self.fields.type_of(path)
         if not isinstance(kind, T.ArrayType):
             return F.lit(False)
@@ -276,5 +296,24 @@ class _Element(Fields):
         return out
 
 
+class _VariantElement(_Element):
+    """Fields of one element of an array in a VARIANT."""
+
+    def __init__(self, column: Column, outer: FilterCompiler) -> None:
+        self.schema, self.variant, self.column, self.whole, self.outer = T.StructType([]), "_", column, True, outer
+
+    def type_of(self, path: str) -> None:
+        return None
+
+    def in_variant(self, path: str) -> bool:
+        return True
+
+    def variant_value(self, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.column, "$" if path == "_" else self._json_path(path), kind)
+
+    def col(self, path: str) -> Column:
+        return self.variant_value(path)
+
+
 def compile_filter(query: dict, fields: Fields, expression=None, text=None) -> Column:
     return FilterCompiler(fields, expression, text).compile(query)

@@ -95,31 +95,68 @@ def apply_update(df: DataFrame, update: dict, where: Column | None = None, now:
     return df.drop("_hit")
 
 
-def upsert_document(query: dict, update: dict) -> dict:
+def _equalities(query: dict) -> dict:
+    """Fields that a filter fixes to a value, those within `$and` too."""
+    out: dict = {}
+    for path, v in query.items():
+        if path == "$and":
+            for part in v:
+                out |= _equalities(part)
+        elif path.startswith("$"):
+            continue
+        elif isinstance(v, dict) and "$eq" in v:
+            out[path] = v["$eq"]
+        elif isinstance(v, dict) and isinstance(v.get("$in"), (list, tuple)) and len(v["$in"]) == 1:
+            out[path] = v["$in"][0]
+        elif not (isinstance(v, dict) and any(k.startswith("$") for k in v)):
+            out[path] = v
+    return out
+
+
+def upsert_document(query: dict, update: dict, now: dt.datetime | None = None) -> dict:
     """The document that an upsert inserts: equality fields of the filter, `$setOnInsert`, then the update."""
     check_update(update)
     doc: dict = {}
 
-    def put(path: str, value: object) -> None:
-        node = doc
+    def node(path: str, make: bool = True) -> tuple[dict, str]:
+        at = doc
         *parents, last = path.split(".")
         for p in parents:
-            node = node.setdefault(p, {})
-        node[last] = value
+            at = at.setdefault(p, {}) if make else at.get(p, {})
+        return at, last
 
-    for path, v in query.items():
-        if path.startswith("$"):
-            continue
-        if isinstance(v, dict) and "$eq" in v:
-            put(path, v["$eq"])
-        elif not (isinstance(v, dict) and any(k.startswith("$") for k in v)):
-            put(path, v)
-    for op in ("$setOnInsert", "$set", "$inc", "$min", "$max"):
+    def put(path: str, value: object) -> None:
+        at, last = node(path)
+        at[last] = value
+
+    def have(path: str) -> object:
+        at, last = node(path, make=False)
+        return at.get(last)
+
+    for path, v in _equalities(query).items():
+        put(path, v)
+    for op in ("$setOnInsert", "$set"):
         for path, v in update.get(op, {}).items():
             put(path, v)
-    for op in ("$push", "$addToSet"):
+    for path, v in update.get("$inc", {}).items():
+        put(path, (have(path) or 0) + v)
+    for path, v in update.get("$mul", {}).items():
+        put(path, (have(path) or 0) * v)
+    for op, pick in (("$min", min), ("$max", max)):
         for path, v in update.get(op, {}).items():
-            put(path, _each(v) if op == "$push" else list(dict.fromkeys(_each(v))))
+            put(path, v if have(path) is None else pick(have(path), v))
+    for path in update.get("$currentDate", {}):
+        put(path, now or dt.datetime.now())
+    for path, v in update.get("$push", {}).items():
+        put(path, list(have(path) or []) + _each(v))
+    for path, v in update.get("$addToSet", {}).items():
+        old = list(have(path) or [])
+        put(path, old + [x for i, x in enumerate(_each(v)) if x not in old and x not in _each(v)[:i]])
     for path in update.get("$unset", {}):
-        doc.pop(path, None)
+        at, last = node(path, make=False)
+        at.pop(last, None)
+    for path, to in update.get("$rename", {}).items():
+        at, last = node(path, make=False)
+        if last in at:
+            put(to, at.pop(last))
     return doc

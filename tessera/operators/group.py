@@ -14,7 +14,7 @@ from tessera.functions.fields import Fields
 from tessera.plans.validation import InvalidQuery
 from tessera.sources.scratch import materialize, with_rank
 
-Order = list[tuple[Column, bool]]
+Order = list[tuple[Column, bool, T.DataType]]
 
 
 def group(df: DataFrame, spec: dict, order: Order | None = None, variables: dict | None = None, sql_avg: bool = False, stringify_ids: bool = False) -> DataFrame:

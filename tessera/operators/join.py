@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,7 +127,8 @@ def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict) -> DataFrame:
     `connectToField`, each once, at its least depth.
 
     Frontiers of all rows advance together: a level is one join with the foreign rows, and what was reached
-    before is taken out by an anti join. Each level is written to the scratch folder.
+    before is taken out by an anti join. Three levels are planned at a time and written as one table, so a walk costs a third of the jobs
+    and its plans stay short.
     """
     fields, other = Fields(df), Fields(foreign)
     start = Expressions(fields)(spec["startWith"])
@@ -143,24 +146,25 @@ def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict) -> DataFrame:
     edges = materialize(edges)
     seeds = own.select("_start").distinct()
     frontier = seeds.select("_start", (F.explode_outer("_start") if array else F.col("_start")).alias("_value"))
-    reached, depth = None, 0
-    while True:
-        found = frontier.join(edges, F.col("_value").eqNullSafe(F.col("_to"))).select("_start", "_node", "_from").distinct()
-        if reached is not None:
-            done = reached.select(F.col("_start").alias("_s"), F.col("_node").alias("_n")).distinct()
-            found = found.join(done, F.col("_start").eqNullSafe(F.col("_s")) & (F.col("_node") == F.col("_n")), "left_anti")
-        level = materialize(found.withColumn("_depth", F.lit(depth).cast("long")))
-        if level.isEmpty():
-            break
-        reached = level if reached is None else reached.unionByName(level)
+    reached, depth, deeper = None, 0, True
+    while deeper and depth <= most:
+        levels, before = [], reached
+        for depth in range(depth, min(depth + 3, most + 1)):
+            found = frontier.join(edges, F.col("_value").eqNullSafe(F.col("_to"))).select("_start", "_node", "_from").distinct()
+            if before is not None:
+                done = before.select(F.col("_start").alias("_s"), F.col("_node").alias("_n"))
+                found = found.join(done, F.col("_start").eqNullSafe(F.col("_s")) & (F.col("_node") == F.col("_n")), "left_anti")
+            levels.append(found.withColumn("_depth", F.lit(depth).cast("long")))
+            before = levels[-1] if before is None else before.unionByName(levels[-1])
+            frontier = levels[-1].where(F.col("_from").isNotNull()).select("_start", F.col("_from").alias("_value")).distinct()
+        table = materialize(reduce(DataFrame.unionByName, levels))
+        last = table.where(F.col("_depth") == depth)
+        deeper = not last.isEmpty()
+        reached = table if reached is None else reached.unionByName(table)
+        frontier = last.where(F.col("_from").isNotNull()).select("_start", F.col("_from").alias("_value")).distinct()
         depth += 1
-        if depth > most:
-            break
-        frontier = level.where(F.col("_from").isNotNull()).select("_start", F.col("_from").alias("_value")).distinct()
     nodes = foreign.withColumn("_node", node)
     columns = [F.col(f"`{c}`") for c in foreign.columns] + ([F.col("_depth").alias(depth_field)] if depth_field else [])
-    if reached is None:
-        reached = edges.select(F.lit(None).cast(own.schema["_start"].dataType).alias("_start"), "_node", F.lit(0).cast("long").alias("_depth")).limit(0)
     rows = reached.select("_start", "_node", "_depth").distinct().join(nodes, "_node")
     gathered = _gather(rows, [F.col("_start").alias("_s")], F.struct(*columns), "_found")
     out = own.join(gathered, F.col("_start").eqNullSafe(F.col("_s")), "left")

@@ -168,6 +168,13 @@ def redact(df: DataFrame, spec: object) -> DataFrame:
     return kept.select(*[F.when(F.col("_decision") == "KEEP", F.col(f"`{n}`")).otherwise(c).alias(n) for n, c in fields.items()])
 
 
-def match(df: DataFrame, query: dict, variables: dict | None = None, variant: str | None = None) -> DataFrame:
+def match(df: DataFrame, query: dict, variables: dict | None = None, variant: str | None = None, text: list[str] | None = None) -> DataFrame:
+    """Rows that a filter lets through; `text` names the fields that its `$text` searches."""
+    from tessera.operators.search import matches
+
     fields = Fields(df, variant)
-    return df.where(compile_filter(query, fields, Expressions(fields, variables)))
+
+    def searched(spec: dict) -> Column:
+        return matches(spec["$search"], [fields.col(f) for f in text], bool(spec.get("$caseSensitive")), bool(spec.get("$diacriticSensitive", True)))
+
+    return df.where(compile_filter(query, fields, Expressions(fields, variables), searched if text else None))

@@ -1,14 +1,16 @@
-"""Fluent builders of filters and pipelines, and hooks that rewrite them before they are planned."""
+"""Fluent builders of filters and pipelines, and hooks around what collections are asked."""
 
 from __future__ import annotations
 
 import copy
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from tessera.plans import pipeline
+from tessera.plans.validation import InvalidQuery
 
 
 class Query:
@@ -91,26 +93,48 @@ class Stages:
         return pipeline.aggregate(df, self.stages, catalog, **options)
 
 
+class Stop(Exception):
+    """Raised by a hook in place of the operation; `value` is its result."""
+
+    def __init__(self, value: object = None) -> None:
+        super().__init__("stopped by a hook")
+        self.value = value
+
+
 class Hooks:
-    """Functions that rewrite filters, pipelines and updates, in the order added."""
+    """Functions that see or rewrite what a collection is asked, in the order added: filters (find, delete), pipelines (aggregate), documents
+    (insert) and updates (update) before, and the same after (inserted, updated, deleted). One that gives None changes nothing."""
+
+    EVENTS = ("find", "aggregate", "insert", "update", "delete", "inserted", "updated", "deleted")
 
     def __init__(self) -> None:
-        self._found: dict[str, list[Callable]] = {"find": [], "aggregate": [], "insert": [], "update": []}
+        self._found: dict[str, list[tuple[Callable, bool]]] = {e: [] for e in self.EVENTS}
 
-    def add(self, event: str, rewrite: Callable) -> Hooks:
-        self._found[event].append(rewrite)
+    def add(self, event: str, rewrite: Callable, with_collection: bool = False) -> Hooks:
+        self._found[event].append((rewrite, with_collection))
         return self
 
-    def apply(self, event: str, spec):
-        for rewrite in self._found[event]:
-            spec = rewrite(copy.deepcopy(spec))
+    def also(self, other: Hooks) -> Hooks:
+        for event, found in other._found.items():
+            self._found[event] += found
+        return self
+
+    def apply(self, event: str, spec, collection=None):
+        for rewrite, with_collection in self._found[event]:
+            made = rewrite(copy.deepcopy(spec), collection) if with_collection else rewrite(copy.deepcopy(spec))
+            spec = spec if made is None else made
         return spec
 
 
-def soft_delete(field: str = "deletedAt") -> Hooks:
-    """Hides rows that have a deletion time."""
+def soft_delete(field: str = "deletedAt", now: Callable[[], dt.datetime] = dt.datetime.now) -> Hooks:
+    """Hides rows that have a deletion time, and gives rows one in place of deleting them."""
     live = {field: {"$exists": False}}
-    return Hooks().add("find", lambda q: {"$and": [live, q]} if q else live).add("aggregate", lambda s: [{"$match": live}, *s])
+
+    def mark(query: dict, collection) -> None:
+        raise Stop(collection.update(query, {"$set": {field: now()}}))
+
+    out = Hooks().add("find", lambda q: {"$and": [live, q]} if q else live).add("aggregate", lambda s: [{"$match": live}, *s])
+    return out.add("delete", mark, with_collection=True)
 
 
 def timestamps(created: str = "createdAt", updated: str = "updatedAt", now: Callable[[], dt.datetime] = dt.datetime.now) -> Hooks:
@@ -120,3 +144,36 @@ def timestamps(created: str = "createdAt", updated: str = "updatedAt", now: Call
         .add("insert", lambda docs: [{created: (t := now()), updated: t} | d for d in docs])
         .add("update", lambda u: u | {"$set": u.get("$set", {}) | {updated: now()}})
     )
+
+
+def audit(into: str = "audit", now: Callable[[], dt.datetime] = dt.datetime.now) -> Hooks:
+    """Notes each insert, update and delete in a collection: which, when and what was asked."""
+
+    def note(event: str) -> Callable:
+        def run(spec, collection) -> None:
+            if collection.name != into:
+                row = {"at": now(), "collection": collection.name, "event": event, "asked": json.dumps(spec, default=str)}
+                collection.database[into].insert_many([row], "_id string, at timestamp, collection string, event string, asked string")
+
+        return run
+
+    out = Hooks()
+    for event in ("inserted", "updated", "deleted"):
+        out.add(event, note(event), with_collection=True)
+    return out
+
+
+def validation(schema: dict, collections: set[str] | None = None) -> Hooks:
+    """Refuses documents that a JSON schema finds wrong."""
+
+    def check(docs: list[dict], collection) -> None:
+        if collections is not None and collection.name not in collections:
+            return
+        from tessera.operators.schema import validation_errors
+
+        df = collection.spark.createDataFrame([{k: v for k, v in d.items() if v is not None} or {"_": True} for d in docs])
+        wrong = df.select(validation_errors(df, schema).alias("wrong")).where("size(wrong) > 0").limit(1).collect()
+        if wrong:
+            raise InvalidQuery("; ".join(wrong[0].wrong))
+
+    return Hooks().add("insert", check, with_collection=True)

@@ -42,10 +42,10 @@ def sort_columns(df: DataFrame, spec: dict) -> list:
 
 class Pipeline:
     """Compiles stages over a frame. `catalog` gives other collections by name and `sink` takes the results of
-    `$out` and `$merge`."""
+    `$out` and `$merge`; `text` names the fields that `$text` searches."""
 
-    def __init__(self, catalog: Catalog | None = None, sink: Callable | None = None, sql_avg: bool = False, stringify_ids: bool = False, variant: str | None = None) -> None:
-        self.catalog, self.sink, self.sql_avg, self.stringify_ids, self.variant = catalog, sink, sql_avg, stringify_ids, variant
+    def __init__(self, catalog: Catalog | None = None, sink: Callable | None = None, sql_avg: bool = False, stringify_ids: bool = False, variant: str | None = None, text: list[str] | None = None) -> None:
+        self.catalog, self.sink, self.sql_avg, self.stringify_ids, self.variant, self.text = catalog, sink, sql_avg, stringify_ids, variant, text
 
     def _foreign(self, name: str) -> DataFrame:
         if self.catalog is None:
@@ -62,7 +62,7 @@ class Pipeline:
 
     def _stage(self, df: DataFrame, op: str, spec, order):
         if op == "$match":
-            return shape.match(df, spec, variant=self.variant), order
+            return shape.match(df, spec, variant=self.variant, text=self.text), order
         if op == "$sort":
             fields = Fields(df)
             return df.orderBy(*sort_columns(df, spec)), [(k, d not in (-1, "desc", "descending")) for k, d in spec.items() if fields.type_of(k) is not None]
@@ -70,7 +70,7 @@ class Pipeline:
             return df.limit(spec), order
         if op == "$skip":
             return df.offset(spec), order
-        keys = [(Fields(df).col(k), up) for k, up in order or [] if Fields(df).type_of(k) is not None] or None
+        keys = [(Fields(df).col(k), up, kind) for k, up in order or [] if (kind := Fields(df).type_of(k)) is not None] or None
         if op == "$project":
             return shape.project(df, spec), order
         if op in ("$addFields", "$set"):
@@ -125,12 +125,13 @@ def aggregate(df: DataFrame, stages: list[dict], catalog: Catalog | None = None,
     return Pipeline(catalog, **options).run(df, stages)
 
 
-def find(df: DataFrame, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int | None = None, variant: str | None = None) -> DataFrame:
-    """Rows that match, sorted, from `skip` on, at most `limit` (0 gives none), with the projection's fields."""
+def find(df: DataFrame, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int | None = None, variant: str | None = None, text: list[str] | None = None) -> DataFrame:
+    """Rows that match, sorted, from `skip` on, at most `limit` (0 gives none), with the projection's fields. `text` names the fields
+    that `$text` searches."""
     from tessera.plans.validation import check_filter
 
     check_filter(query or {})
-    df = shape.match(df, query or {}, variant=variant)
+    df = shape.match(df, query or {}, variant=variant, text=text)
     if sort:
         df = df.orderBy(*sort_columns(df, sort))
     if skip:

@@ -19,7 +19,7 @@ def watch(spark: SparkSession, path: str, schema: T.StructType, query: dict | No
     """A streaming frame of the log's rows with their operation type. The checkpoint of the sink resumes it; `after_seq` replays
     from a sequence number."""
     rows = spark.readStream.schema(schema).parquet(path)
-    rows = rows.withColumn("operation_type", F.when(F.col(op) == "i", "insert").when(F.col(op) == "d", "delete").otherwise("update"))
+    rows = rows.withColumn("operation_type", F.when(F.col(op) == "i", "insert").when(F.col(op) == "d", "delete").when(F.col(op) == "r", "replace").otherwise("update"))
     if after_seq is not None:
         rows = rows.where(F.col(seq) > after_seq)
     if query:
@@ -53,9 +53,32 @@ def update_descriptions(rows: DataFrame, key: str = "_id", seq: str = "_seq", op
     return rows.groupBy(key).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def describe_batches(folder: str, write: Callable[[DataFrame], None], key: str = "_id", seq: str = "_seq", op: str = "_op") -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that gives `write` the change events of each batch, with descriptions of updates against the row before, from
+    whichever batch. Each key's newest row is kept as a table under `folder`, a new one a batch, so a batch repeated after
+    a failure reads the same one as the first time. Rows are ranked by Spark, so no key's changes are gathered in a task's memory."""
+    from tessera.operators.versioned import changes, latest
+    from tessera.sources.folders import Folder
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = Folder(spark, f"{folder}/{number - 1}")
+        rows = batch.withColumn("_new", F.lit(True))
+        if (before / "_SUCCESS").exists():
+            rows = rows.unionByName(spark.read.parquet(before.path).withColumn("_new", F.lit(False)))
+        # The newest row of a key that an earlier batch left comes before all of this one.
+        events = changes(rows.drop("_new"), key, seq, op).join(batch.select(F.col(key).alias("document_key"), F.col(seq).alias("token")), ["document_key", "token"], "left_semi")
+        write(events)
+        latest(rows.drop("_new"), key, seq, op=None).write.mode("overwrite").parquet(f"{folder}/{number}")
+        Folder(spark, f"{folder}/{number - 2}").delete()
+
+    return run
+
+
 def merge_batches(into: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], key: str = "_id", seq: str = "_seq", tiebreak: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that keeps the newest row of each key in a table: a batch replayed after a
-    failure changes nothing, since equal rows win against themselves."""
+    failure changes nothing, since equal rows win against themselves. The table is written anew each time; `upsert_batches` writes
+    only the part that a batch touches."""
     from tessera.operators.versioned import latest
 
     def run(batch: DataFrame, _: int) -> None:
@@ -66,6 +89,28 @@ def merge_batches(into: Callable[[], DataFrame | None], write: Callable[[DataFra
     return run
 
 
+def upsert_batches(path: str, key: str = "_id", seq: str = "_seq", tiebreak: tuple[str, ...] = (), parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that keeps the newest row of each key in a Parquet table dealt over `parts` folders by a hash of the key: only
+    the folders that a batch has keys of are read, merged and replaced."""
+    from tessera.operators.versioned import latest
+    from tessera.sources.folders import Folder
+    from tessera.sources.scratch import materialize
+
+    def run(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r._part for r in rows.select("_part").distinct().collect()]  # at most `parts`
+        if not touched:
+            return
+        if Folder(spark, path).exists():
+            have = spark.read.option("mergeSchema", True).parquet(path).where(F.col("_part").isin(touched))
+            rows = have.unionByName(rows, allowMissingColumns=True)
+        merged = materialize(latest(rows, key, seq, op=None, tiebreak=tiebreak))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+
+    return run
+
+
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by tumbling window and key; events later than the watermark are dropped."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.catalogue import ORACLE_SQL, QUERIES
+from tessera.catalogue_store import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
