@@ -206,7 +206,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     classes = materialize(made.groupBy("cid").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
     families = connected_components(_tile_links(classes, None, radius, similarity, tile_rows, sketch, verify=False))
     kin = classes.join(families.withColumnRenamed("node", "cid"), "cid")
-    groups = connected_components(_tile_links(kin, "component", radius, similarity, tile_rows // 4, sketch, verify=True))
+    groups = connected_components(_tile_links(kin, "component", radius, similarity, tile_rows // 16, sketch, verify=True))
     member = made.select("key", "id", "cid").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     best = member.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
     return best.select(F.col("best.key").alias("key"))
