@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,13 +120,50 @@ def lookup_pipeline(df: DataFrame, foreign: DataFrame, let: dict, stages: list,
     return set_path(out, name, F.col("_found")).drop("_let", "_key", "_found")
 
 
+def _by_level(frontier: DataFrame, edges: DataFrame, most: int, several: bool) -> DataFrame:
+    """(start, node, depth) level by level. What was reached before is taken out by an anti join."""
+    reached, depth = None, 0
+    while True:
+        found = frontier.join(edges, F.col("_value").eqNullSafe(F.col("_to"))).select("_start", "_node", "_from").distinct()
+        if reached is not None:
+            # The levels' rows differ already, but for arrays of references, which an anti join doesn't mind.
+            done = reached.select(F.col("_start").alias("_s"), F.col("_node").alias("_n"))
+            found = found.join(done, F.col("_start").eqNullSafe(F.col("_s")) & (F.col("_node") == F.col("_n")), "left_anti")
+        level = materialize(found.withColumn("_depth", F.lit(depth).cast("long")))
+        reached = level if reached is None else reached.unionByName(level)
+        depth += 1
+        if depth > most or level.isEmpty():
+            break
+        frontier = level.where(F.col("_from").isNotNull()).select("_start", F.col("_from").alias("_value"))
+        frontier = frontier.distinct() if several else frontier
+    reached = reached.select("_start", "_node", "_depth")
+    return reached.distinct() if several else reached
+
+
+def _doubled(frontier: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """The same where each node leads to one node at most: the paths of all nodes double in length each round, so a walk of
+    depth d takes log2(d) joins. A cycle comes round again until `most`; the least depth of a node stays."""
+    ends = edges.select(F.col("_to").alias("_v"), F.col("_node").alias("_z"))
+    step = materialize(edges.select("_node", "_from").join(ends, F.col("_from") == F.col("_v")).select(F.col("_node").alias("_x"), "_z"))
+    paths, ahead, length = edges.select(F.col("_node").alias("_x"), "_node", F.lit(0).cast("long").alias("_depth")), step, 1
+    while length <= most:
+        more = ahead.join(paths.withColumnRenamed("_x", "_z"), "_z").select("_x", "_node", (F.col("_depth") + length).alias("_depth"))
+        paths = materialize(paths.unionByName(more.where(F.col("_depth") <= most)))
+        ahead = materialize(ahead.join(ahead.select(F.col("_x").alias("_z"), F.col("_z").alias("_y")), "_z").select("_x", F.col("_y").alias("_z")))
+        length *= 2
+        if ahead.isEmpty():
+            break
+    paths = paths.groupBy("_x", "_node").agg(F.min("_depth").alias("_depth")) if length > most else paths
+    first = frontier.join(ends, F.col("_value").eqNullSafe(F.col("_v"))).select("_start", F.col("_z").alias("_x"))
+    return first.join(paths, "_x").select("_start", "_node", "_depth")
+
+
 def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict) -> DataFrame:
     """Each row with the foreign rows reached from its start value by following `connectFromField` to
     `connectToField`, each once, at its least depth.
 
-    Frontiers of all rows advance together: a level is one join with the foreign rows, and what was reached
-    before is taken out by an anti join. Three levels are planned at a time and written as one table, so a walk costs a third of the jobs
-    and its plans stay short.
+    Walks from all rows advance together, by joins with the foreign rows; each round is written to the scratch folder, so
+    nothing is computed twice.
     """
     fields, other = Fields(df), Fields(foreign)
     start = Expressions(fields)(spec["startWith"])
@@ -141,31 +176,21 @@ def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict) -> DataFrame:
     array = isinstance(own.schema["_start"].dataType, T.ArrayType)
     node = F.col("_id").cast("string") if "_id" in foreign.columns else F.to_json(_row(foreign))
     edges = foreign.select(node.alias("_node"), other.col(to_field).alias("_to"), other.col(from_field).alias("_from"))
-    if isinstance(edges.schema["_from"].dataType, T.ArrayType):
+    several = isinstance(edges.schema["_from"].dataType, T.ArrayType)
+    if several:
         edges = edges.withColumn("_from", F.explode_outer("_from"))
     edges = materialize(edges)
     seeds = own.select("_start").distinct()
     frontier = seeds.select("_start", (F.explode_outer("_start") if array else F.col("_start")).alias("_value"))
-    reached, depth, deeper = None, 0, True
-    while deeper and depth <= most:
-        levels, before = [], reached
-        for depth in range(depth, min(depth + 3, most + 1)):
-            found = frontier.join(edges, F.col("_value").eqNullSafe(F.col("_to"))).select("_start", "_node", "_from").distinct()
-            if before is not None:
-                done = before.select(F.col("_start").alias("_s"), F.col("_node").alias("_n"))
-                found = found.join(done, F.col("_start").eqNullSafe(F.col("_s")) & (F.col("_node") == F.col("_n")), "left_anti")
-            levels.append(found.withColumn("_depth", F.lit(depth).cast("long")))
-            before = levels[-1] if before is None else before.unionByName(levels[-1])
-            frontier = levels[-1].where(F.col("_from").isNotNull()).select("_start", F.col("_from").alias("_value")).distinct()
-        table = materialize(reduce(DataFrame.unionByName, levels))
-        last = table.where(F.col("_depth") == depth)
-        deeper = not last.isEmpty()
-        reached = table if reached is None else reached.unionByName(table)
-        frontier = last.where(F.col("_from").isNotNull()).select("_start", F.col("_from").alias("_value")).distinct()
-        depth += 1
+    # One reference a row to one row, as in a tree by parents, and starts all over: then paths of all nodes double at once.
+    chains = not several and not array and edges.groupBy("_to").count().where("count > 1").isEmpty()
+    if chains and seeds.count() * 4 >= edges.count():
+        reached = _doubled(frontier, edges, most)
+    else:
+        reached = _by_level(frontier, edges, most, several)
     nodes = foreign.withColumn("_node", node)
     columns = [F.col(f"`{c}`") for c in foreign.columns] + ([F.col("_depth").alias(depth_field)] if depth_field else [])
-    rows = reached.select("_start", "_node", "_depth").distinct().join(nodes, "_node")
+    rows = reached.join(nodes, "_node")
     gathered = _gather(rows, [F.col("_start").alias("_s")], F.struct(*columns), "_found")
     out = own.join(gathered, F.col("_start").eqNullSafe(F.col("_s")), "left")
     out = out.withColumn("_found", F.coalesce("_found", F.array().cast(gathered.schema["_found"].dataType)))
