@@ -36,7 +36,7 @@ def haversine(lon: Column, lat: Column, to: tuple[float, float]) -> Column:
     x, y = F.lit(float(to[0])), F.lit(float(to[1]))
     dlat, dlon = F.radians(y - lat), F.radians(x - lon)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(y)) * F.pow(F.sin(dlon / 2), 2)
-    a = F.least(F.lit(1.0), a)
+    a = F.when(a > 1, F.lit(1.0)).otherwise(a)  # stays null without coordinates
     return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
