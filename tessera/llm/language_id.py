@@ -77,7 +77,7 @@ class _Counts:
             self.keys, self.waiting, self.n = keys, [], 0
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profile: int = 400, max_languages: int = 1000) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profile: int = 400, max_languages: int = 10_000) -> dict[str, np.ndarray]:
     """Each language's n-grams by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
 Documents with the same set of sources form one membership pattern. Only the patterns' total sizes
-reach the driver (at most `max_patterns`), where token capacity is routed from patterns to source quotas.
+reach the driver (at most `max_patterns`, some hundred megabytes), where token capacity is routed from patterns to source quotas; sources that share no
+document with others need no routing, and their quota is met from their own documents.
 A pattern can be passed `repeats` times; each further pass costs more (a convex cost), so the flow
 repeats as little as it can. Which documents the last, partial pass takes is decided on the cluster: documents
 stand in the order of a seeded hash, and a radix search over its bits finds, by small counts,
@@ -126,7 +127,7 @@ def _cuts(rows: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, int]]:
     return done
 
 
-def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), repeats: int = 3, seed: int = 42, max_patterns: int = 100_000):
+def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), repeats: int = 3, seed: int = 42, max_patterns: int = 1_000_000):
     """The documents' columns with `mix_size` and `mix_taken` added, and each source's (size, target).
 
     `members` is an array column: the sources to which a document belongs.
@@ -145,7 +146,11 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
     wanted = targets(sizes, weights, repeats, sum(patterns.values()))
-    taken = route(patterns, {s: round(t) for s, t in wanted.items()}, repeats)
+    # A source that shares no document with another needs no flow: it gives what it has, up to its quota.
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    quotas = {s: round(t) for s, t in wanted.items()}
+    taken = {p: min(quotas[p[0]], repeats * n) if p else 0 for p, n in patterns.items() if not shared.intersection(p)}
+    taken |= route({p: n for p, n in patterns.items() if p not in taken}, {s: q for s, q in quotas.items() if s in shared}, repeats)
     rest = {}
     plan = []
     for r in found:
