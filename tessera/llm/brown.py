@@ -213,7 +213,7 @@ def _vectors(pairs: DataFrame, label: np.ndarray, total: int, moves: np.ndarray)
             count = np.bincount(where, np.r_[n[after], n[ahead]], len(at)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at // (2 * total)).astype(np.int32)), pa.array((at % (2 * total)).astype(np.int32)), pa.array(count)], ["word", "slot", "n"])
 
-    return pairs.mapInArrow(run, "word int, slot int, n long")
+    return pairs.mapInArrow(run, "word int, slot int, n long").repartition("word")
 
 
 def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
@@ -236,8 +236,8 @@ def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
                 value = by_slot @ weight
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.argmax(1).astype(np.int32))], ["word", "label"])
 
-    # Dealt by word once, for both steps.
-    summed = vectors.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    # `vectors` are dealt by word already, so neither step moves rows.
+    summed = vectors.groupBy("word", "slot").agg(F.sum("n").alias("n"))
     return summed.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("cells")).mapInArrow(run, f"word {dict(vectors.dtypes)['word']}, label int")
 
 
@@ -322,12 +322,29 @@ def _outside(docs: DataFrame, text_col: str, ids: dict[bytes, int], label: np.nd
 
 def _by_neighbours(outside: DataFrame, key: str, total: int, between: np.ndarray) -> DataFrame:
     """(word, label) of words by the classes on both sides of them; words with none take part with no weight."""
-    rows = outside.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("word"), "before", "after").agg(F.sum("n").alias("n"))
+    # Moved once, a row for both sides.
+    rows = outside.where(F.col(key).isNotNull()).select(F.col(key).alias("word"), "before", "after", F.col("n").cast("int")).repartition("word")
     slots = F.array_compact(F.array(F.when(F.col("after") >= 0, F.col("after")), F.when(F.col("before") >= 0, F.col("before") + total)))
-    slots = F.when(F.size(slots) > 0, F.transform(slots, lambda s: F.struct(s.alias("slot"), F.col("n").alias("n")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).cast("long").alias("n"))))
+    slots = F.when(F.size(slots) > 0, F.transform(slots, lambda s: F.struct(s.alias("slot"), F.col("n").alias("n")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).alias("n"))))
     return _choose(rows.select("word", F.explode(slots).alias("x")).select("word", "x.slot", "x.n"), between)
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """(word, n) of the most frequent words but the end, those of equal count by their bytes. A table of how many words have each count tells
+    from which count on all are in, so only the ties there are sorted."""
+    words = counts.where(F.length("word") > 0)
+    held, least = 0, 0
+    for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(most).toLocalIterator():
+        if held + r.k > most:
+            least = r.n
+            break
+        held += r.k
+    found = words.where(F.col("n") > least).toArrow()
+    if least and held < most:
+        found = pa.concat_tables([found, words.where(F.col("n") == least).orderBy("word").limit(most - held).toArrow()])
+    return found.sort_by([("n", "descending"), ("word", "ascending")])
+
+
 def train(counts: DataFrame, docs: DataFrame, text_col: str, **settings) -> Model:
     """The model with a class for each dictionary word; its transitions are those of the exchanged words yet."""
     return _train(counts, docs, text_col, **settings)[0]
@@ -336,7 +353,7 @@ def train(counts: DataFrame, docs: DataFrame, text_col: str, **settings) -> Mode
 def _train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 2048, exchanged: int = 20_000, dictionary: int = 400_000, classes: int = 64, smoothing: float = 20.0, sweeps: int = 3, least: float = 1e-3) -> tuple[Model, DataFrame]:
     """The same, and the table of `_outside`."""
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(dictionary).toArrow()
+    top = _most_frequent(counts, dictionary)
     ends = counts.where(F.length("word") == 0).collect()
     ids = {_END: 0} | {w: i for i, w in enumerate(top["word"].to_pylist(), 1)}
     n = np.r_[float(ends[0].n if ends else 0), top["n"].to_numpy().astype(np.float64)]
