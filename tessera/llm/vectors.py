@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import quoted
+from tessera.llm.common import materialize, quoted
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
@@ -38,7 +38,7 @@ def seed_rows(rows: DataFrame, n: int, *order: Column) -> list:
 def dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], block: int, tile: str) -> tuple[DataFrame, DataFrame]:
     """rows with a tile number, and `sizes` (the keys, n, ...) with the number of tiles: each has about `block` rows.
     `sizes` must be small, as it is broadcast."""
-    sizes = sizes.withColumn(f"{tile}s", F.ceil(F.col("n") / block).cast("int"))
+    sizes = materialize(sizes.withColumn(f"{tile}s", F.ceil(F.col("n") / block).cast("int")))
     out = rows.join(F.broadcast(sizes.select(*keys, f"{tile}s")), keys)
     return out.withColumn(tile, F.pmod(F.xxhash64("id", "copy", F.lit(tile)), F.col(f"{tile}s")).cast("int")).drop(f"{tile}s"), sizes
 
@@ -49,7 +49,7 @@ def filled(rows: DataFrame, group: str, block: int) -> DataFrame:
     sizes = rows.groupBy("dim", group).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = sizes.withColumn("part", F.floor(before / block))
-    to = part.withColumn("to", F.min(group).over(Window.partitionBy("dim", "part"))).select("dim", group, "to")
+    to = materialize(part.withColumn("to", F.min(group).over(Window.partitionBy("dim", "part"))).select("dim", group, "to"))
     return rows.join(F.broadcast(to), ["dim", group]).drop(group).withColumnRenamed("to", group)
 
 
