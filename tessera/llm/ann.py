@@ -87,7 +87,7 @@ def estimates(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, query: np.nd
     return estimate, estimate - scale * epsilon * np.sqrt(variance)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = 1.9, first: int = 80, turns: int = 4, block: int = 65_536, query_block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = 1.9, first: int = 80, turns: int = 4, block: int = 65_536, query_block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, nearest first."""
     rows = materialize(counted(valid_vectors(df, id_col, vec_col, zero=False)))
     common = rows.groupBy("dim").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
