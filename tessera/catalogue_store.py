@@ -442,6 +442,13 @@ def project_dotted(spark, sf_dir):
     return find(orders, {"o_totalprice": {"$gt": 200_000}}, {"o_orderkey": 1, "who.cust": 1}).select("o_orderkey", "who.cust")
 
 
+@query("SELECT p_partkey, array_to_string(list_slice(string_split(p_name, ' '), 1, 1), ' ') AS words, CASE WHEN contains(p_name, 'widget') THEN 'widget' END AS found FROM part")
+def project_slice_elem_match(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"), F.split("p_name", " ").alias("found"))
+    out = find(part, {}, {"p_partkey": 1, "words": {"$slice": 1}, "found": {"$elemMatch": {"$eq": "widget"}}})
+    return out.select("p_partkey", F.array_join("words", " ").alias("words"), "found")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'keep' ELSE 'cut' END AS what FROM part WHERE p_size % 5 <> 0")
 def redact_keep(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.struct(F.col("p_size").alias("p_size"), F.lit("keep").alias("what")).alias("inner"))

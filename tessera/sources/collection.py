@@ -349,6 +349,15 @@ class Collection:
         """Descriptions, that of the key first."""
         return [{"name": "_id_", "key": {"_id": 1}}, *[Folder(self.spark, p).read() for p in self._indexes().matching("*.json")]]
 
+    def sync_indexes(self, wanted: list[dict | str]) -> tuple[list[str], list[str]]:
+        """Makes the indexes listed and drops all others but the key's; gives the names made and dropped."""
+        names = {"_".join(f"{k}_{v}" for k, v in ({w: 1} if isinstance(w, str) else w).items()): w for w in wanted}
+        have = [i["name"] for i in self.list_indexes() if i["name"] != "_id_"]
+        gone = [n for n in have if n not in names]
+        for n in gone:
+            self.drop_index(n)
+        return [self.create_index(w) for n, w in names.items() if n not in have], gone
+
     def drop_index(self, name: str) -> None:
         file = self._indexes() / f"{name}.json"
         meta = file.read()

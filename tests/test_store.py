@@ -121,6 +121,21 @@ def test_unique_index(db):
         c.create_index("v", unique=True)
 
 
+def test_indexes_in_step_with_a_list(db):
+    c = db["t"]
+    c.insert_many([{"_id": 1, "v": 1, "t": "x y"}], "_id int, v int, t string")
+    c.create_index("v")
+    assert c.sync_indexes([{"t": "text"}, "_id"]) == (["t_text", "_id_1"], ["v_1"]) and c.sync_indexes([{"t": "text"}, "_id"]) == ([], [])
+    assert [i["name"] for i in c.list_indexes()] == ["_id_", "_id_1", "t_text"]
+
+
+def test_the_file_of_the_kept_row(spark, tmp_path):
+    for name, v in (("a", 1), ("b", 2)):
+        spark.createDataFrame([("k", v, "i", v)], "_id string, _seq long, _op string, v int").coalesce(1).write.parquet(str(tmp_path / name))
+    log = spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b"))
+    assert "/b/" in versioned.dedup(log, source="file").first().file and "/a/" in versioned.dedup(log, ascending=False, source="file").first().file
+
+
 def test_hooks_stop_and_see(db):
     seen = []
     db.hooks.also(Hooks().add("find", lambda q: seen.append(q)).add("delete", lambda q, c: (_ for _ in ()).throw(Stop(-1)), with_collection=True))
