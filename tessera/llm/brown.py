@@ -118,7 +118,7 @@ def exchange(bigrams: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int =
 
 @dataclass
 class Model:
-    ids: dict[bytes, int]  # dictionary words; the end token is 0, any other word len(ids)
+    ids: _Ids  # dictionary words; the end token is 0, any other word len(ids)
     n: np.ndarray  # training counts by id
     label: np.ndarray  # class by id, the last one that of words outside
     step: np.ndarray  # log10 of each class after each class
@@ -138,15 +138,22 @@ class Model:
         return float(np.log10(self.tokens + 0.5 * (self.types + 1)))
 
 
-def _sequences(texts: list[bytes], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+class _Ids(dict):
+    """Ids of words; any other word has the number of ids."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
+def _sequences(texts: list[bytes], ids: _Ids) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Ids of all tokens of some texts, each text's closed by the end's 0, each text's number of tokens, and the tokens."""
-    other, get, tokens, lengths = len(ids), ids.get, [], []
+    tokens, lengths = [], []
     for t in texts:
         w = words_ascii_lower(t)
         tokens += w
         tokens.append(_END)
         lengths.append(len(w) + 1)
-    return np.array([get(x, other) for x in tokens], dtype=np.int64), np.array(lengths, dtype=np.int64), tokens
+    return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens)), np.array(lengths, dtype=np.int64), tokens
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -154,8 +161,8 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
         yield from slices(batch, column)
 
 
-def _bigrams(docs: DataFrame, text_col: str, ids: dict[bytes, int]) -> DataFrame:
-    """(a, b, n) of neighbours that both have an id."""
+def _bigrams(docs: DataFrame, text_col: str, ids: _Ids) -> DataFrame:
+    """(a, b, n) of neighbours that both have an id, dealt by the first."""
     other, shared = len(ids), docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,50 +186,39 @@ def _bigrams(docs: DataFrame, text_col: str, ids: dict[bytes, int]) -> DataFrame
             yield flush()
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a int, b int, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # Added up by both words first: a common word's rows from all tasks would be too many for one.
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).repartition("a")
 
 
-def _between(pairs: DataFrame, label: np.ndarray, total: int) -> np.ndarray:
-    """Class bigrams of pairs whose words both have a class."""
+def _neighbours_of(pairs: DataFrame, own: int, label: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, class, n): the classes of the neighbours of the word in column `own` of the pairs. The pairs are dealt by that word, so there are at
+    most as many rows as words times classes, and the driver gets them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(total * total, dtype=np.int64)
+        cells = np.zeros(len(label) * total, dtype=np.int64)
         for batch in batches:
-            a, b = label[batch.column(0).to_numpy()], label[batch.column(1).to_numpy()]
-            keep = (a >= 0) & (b >= 0)
-            np.add.at(cells, a[keep] * total + b[keep], batch.column(2).to_numpy()[keep])
+            word, near, n = batch.column(own).to_numpy(), label[batch.column(1 - own).to_numpy()], batch.column(2).to_numpy()
+            keep = near >= 0
+            cells += np.bincount(word[keep].astype(np.int64) * total + near[keep], n[keep], len(cells)).astype(np.int64)
         at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((at // total).astype(np.int32)), pa.array((at % total).astype(np.int32)), pa.array(cells[at])], ["word", "near", "n"])
 
-    out = np.zeros(total * total)
-    for x in pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[x.cell] = x.n
-    return out.reshape(total, total)
+    found = pairs.mapInArrow(run, "word int, near int, n long").toArrow()
+    return tuple(found[c].to_numpy() for c in ("word", "near", "n"))
 
 
-def _vectors(pairs: DataFrame, label: np.ndarray, total: int, moves: np.ndarray) -> DataFrame:
-    """(word, slot, n) of the words that may move: class c after a word at slot c, before it at total + c. Neighbours without a class don't count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n = (batch.column(c).to_numpy() for c in range(3))
-            la, lb = label[a], label[b]
-            after, ahead = moves[a] & (lb >= 0), moves[b] & (la >= 0)
-            keys = np.r_[(a.astype(np.int64) * 2 * total + lb)[after], (b.astype(np.int64) * 2 * total + total + la)[ahead]]
-            at, where = np.unique(keys, return_inverse=True)
-            count = np.bincount(where, np.r_[n[after], n[ahead]], len(at)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at // (2 * total)).astype(np.int32)), pa.array((at % (2 * total)).astype(np.int32)), pa.array(count)], ["word", "slot", "n"])
-
-    return pairs.mapInArrow(run, "word int, slot int, n long").repartition("word")
-
-
-def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
-    """(word, label): the class where each word's bigrams with its neighbours' classes (word, slot, n) are likeliest."""
+def _weights(between: np.ndarray) -> np.ndarray:
+    """What a neighbour of each class after a word (first), or before it, adds to the likelihood of each class of the word."""
     total = len(between)
     used = total - 2
     after = np.log((between[:used] + 0.5) / (between[:used].sum(1) + 0.5 * total)[:, None]).T
     ahead = np.log((between[:, :used] + 0.5) / (between[:, :used].sum(0) + 0.5 * total))
-    weight = np.r_[after, ahead]
+    return np.r_[after, ahead]
+
+
+def _choose(vectors: DataFrame, between: np.ndarray) -> DataFrame:
+    """(word, label): the class where each word's bigrams with its neighbours' classes (word, slot, n) are likeliest."""
+    total, weight = len(between), _weights(between)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -246,12 +242,18 @@ def _likelihood(between: np.ndarray) -> float:
     return float(h(between) - h(between.sum(0)) - h(between.sum(1)) + h(between.sum()))
 
 
-def _exchange_all(pairs: DataFrame, label: np.ndarray, total: int, sweeps: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all words of the pairs (those at -1 have none yet; the first, the end, stays) and the class bigrams."""
+def _exchange_all(pairs: tuple[DataFrame, DataFrame], label: np.ndarray, total: int, sweeps: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words of the pairs (those at -1 have none yet; the first, the end, stays) and the class bigrams. The pairs come dealt by their first
+    and by their second word."""
     fresh = label < 0
     best = None
     for k in range(sweeps + 1):
-        between = _between(pairs, label, total)
+        near = np.zeros((len(label), 2 * total))
+        for own, table in enumerate(pairs):
+            word, slot, n = _neighbours_of(table, own, label, total)
+            np.add.at(near, (word, slot + own * total), n)
+        between = np.zeros((total, total))
+        np.add.at(between, label[label >= 0], near[label >= 0, :total])
         # The start has no classes but for some words, so its likelihood isn't comparable.
         gained = _likelihood(between) if k else -np.inf
         if best is None or gained > best[0]:
@@ -264,13 +266,12 @@ def _exchange_all(pairs: DataFrame, label: np.ndarray, total: int, sweeps: int,
         moves = fresh.copy() if not k and fresh.any() else np.arange(len(label)) % 2 == k % 2
         moves[0] = False
         label = label.copy()
-        for x in _choose(_vectors(pairs, label, total, moves), between).collect():
-            label[x.word] = x.label
-        label[label < 0] = 0  # words that never stand beside a classed one
+        # Words that stand beside no classed one get the first class.
+        label[moves] = (near[moves] @ _weights(between)).argmax(1)
     return best[1], best[2]
 
 
-def _outside(docs: DataFrame, text_col: str, ids: dict[bytes, int], label: np.ndarray, total: int) -> DataFrame:
+def _outside(docs: DataFrame, text_col: str, ids: _Ids, label: np.ndarray, total: int) -> DataFrame:
     """(id, word, before, after, n) of the words without a class yet: the id of those in the dictionary, the word itself of others; and the classes
     on both sides, or -1."""
     shared = docs.sparkSession.sparkContext.broadcast(ids)
@@ -320,10 +321,39 @@ def _outside(docs: DataFrame, text_col: str, ids: dict[bytes, int], label: np.nd
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "id int, word binary, before int, after int, n long")
 
 
-def _by_neighbours(outside: DataFrame, key: str, total: int, between: np.ndarray) -> DataFrame:
+def _ids_by_neighbours(outside: DataFrame, first: int, last: int, total: int, between: np.ndarray) -> np.ndarray:
+    """Classes of the dictionary's words from one id to another by the classes on both sides of them. Their rows are dealt by id, and a task adds them up
+    in a matrix, of bounded size as the dictionary is."""
+    weight = _weights(between).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(last - first + 1, -1, dtype=np.int32)
+        near, used = np.zeros((1024, 2 * total), dtype=np.float32), 0
+        for batch in batches:
+            word, before, after, n = (batch.column(c).to_numpy() for c in range(4))
+            word = word - first
+            new = np.unique(word[place[word] < 0])
+            place[new] = np.arange(used, used + len(new))
+            used += len(new)
+            if used > len(near):
+                near = np.concatenate([near, np.zeros((max(used - len(near), len(near)), 2 * total), dtype=np.float32)])
+            for slot, shift in ((after, 0), (before, total)):
+                keep = slot >= 0
+                np.add.at(near, (place[word[keep]], slot[keep] + shift), n[keep])
+        found = np.flatnonzero(place >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array((found + first).astype(np.int32)), pa.array((near[place[found]] @ weight).argmax(1).astype(np.int32))], ["word", "label"])
+
+    rows = outside.where("id IS NOT NULL").select("id", "before", "after", F.col("n").cast("int")).repartition("id")
+    found = rows.mapInArrow(run, "word int, label int").toArrow()
+    label = np.zeros(last - first + 1, dtype=np.int64)
+    label[found["word"].to_numpy() - first] = found["label"].to_numpy()
+    return label
+
+
+def _by_neighbours(outside: DataFrame, total: int, between: np.ndarray) -> DataFrame:
     """(word, label) of words by the classes on both sides of them; words with none take part with no weight."""
     # Moved once, a row for both sides.
-    rows = outside.where(F.col(key).isNotNull()).select(F.col(key).alias("word"), "before", "after", F.col("n").cast("int")).repartition("word")
+    rows = outside.where("word IS NOT NULL").select("word", "before", "after", F.col("n").cast("int")).repartition("word")
     slots = F.array_compact(F.array(F.when(F.col("after") >= 0, F.col("after")), F.when(F.col("before") >= 0, F.col("before") + total)))
     slots = F.when(F.size(slots) > 0, F.transform(slots, lambda s: F.struct(s.alias("slot"), F.col("n").alias("n")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).alias("n"))))
     return _choose(rows.select("word", F.explode(slots).alias("x")).select("word", "x.slot", "x.n"), between)
@@ -355,24 +385,23 @@ def _train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 2
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = _most_frequent(counts, dictionary)
     ends = counts.where(F.length("word") == 0).collect()
-    ids = {_END: 0} | {w: i for i, w in enumerate(top["word"].to_pylist(), 1)}
+    ids = _Ids({_END: 0} | {w: i for i, w in enumerate(top["word"].to_pylist(), 1)})
     n = np.r_[float(ends[0].n if ends else 0), top["n"].to_numpy().astype(np.float64)]
-    some = dict(itertools.islice(ids.items(), exchanged + 1))
+    some = _Ids(itertools.islice(ids.items(), exchanged + 1))
     first, used = min(clustered, len(ids) - 1), min(classes, max(1, min(clustered, len(ids) - 1)))
     total = used + 2
-    pairs = materialize(_bigrams(docs, text_col, some))
+    by_first = materialize(_bigrams(docs, text_col, some))
+    by_second = materialize(by_first.repartition("b"))
     bigrams = np.zeros((first + 1, first + 1))
-    near = pairs.where((F.col("a") <= first) & (F.col("b") <= first)).toArrow()
+    near = by_first.where((F.col("a") <= first) & (F.col("b") <= first)).toArrow()
     bigrams[near["a"].to_numpy(), near["b"].to_numpy()] = near["n"].to_numpy()
     fixed = np.full(first + 1, -1)
     fixed[0] = used
     label = np.r_[exchange(bigrams, fixed, used), np.full(len(some) - first - 1, -1)]
-    label, between = _exchange_all(pairs, label, total, sweeps, least)
+    label, between = _exchange_all((by_first, by_second), label, total, sweeps, least)
     outside = materialize(_outside(docs, text_col, ids, label, total))
-    label = np.r_[label, np.zeros(len(ids) - len(label), dtype=label.dtype)]
     if len(some) < len(ids):
-        found = _by_neighbours(outside, "id", total, between).toArrow()
-        label[found["word"].to_numpy()] = found["label"].to_numpy()
+        label = np.r_[label, _ids_by_neighbours(outside, len(some), len(ids) - 1, total, between)]
     model = Model(ids, n, np.r_[label, total - 1], between, np.zeros(len(ids) + 1), int(tokens), int(types), len(some) - 1, between)
     return _estimated(model, between, np.bincount(label, n, total), smoothing), outside.where("word IS NOT NULL")
 
@@ -449,7 +478,7 @@ def _looked_up(places: DataFrame, table: DataFrame, total: int) -> DataFrame:
 def _complete(model: Model, counts: DataFrame, outside: DataFrame, rows: DataFrame, smoothing: float) -> tuple[Model, DataFrame, DataFrame, np.ndarray]:
     """The model over all bigrams, (word, n, label) of the words outside the dictionary, what `_looked_up` gives, and the classes' sizes."""
     total = model.total
-    table = materialize(counts.join(_by_neighbours(outside, "word", total, model.between), "word"))
+    table = materialize(counts.join(_by_neighbours(outside, total, model.between), "word"))
     places = materialize(_places(rows, model))
     found = materialize(_looked_up(places, table, total))
     between = np.zeros((total, total))

@@ -60,3 +60,20 @@ def test_an_empty_table(spark, corpus, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_operators_keep_columns_of_any_name(spark, corpus):
+    from tessera.llm import mixing, pii, quality, secrets
+    from tessera.llm import sentencepiece_unigram as sp
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id < 20 OR doc_id = 1005")
+    labels = spark.read.parquet(f"{corpus}/labels.parquet")
+    model = sp.load(spark)
+    made = {
+        ("secret_spans",): secrets.scan(docs), ("base_spans", "pii_spans"): pii.detect(docs), (): pii.redact(docs), ("log_weight", "gumbel_key", "kept"): quality.by_labels(docs, labels),
+        ("mix_size", "mix_taken"): mixing.mix(docs, F.array("source"))[0], ("ids", "n_tokens", "n_bytes", "decoded_ok"): sp.tokenize(docs, model),
+    }
+    for new, out in made.items():
+        left = [c for c in EXTRA if c not in new]
+        assert set(docs.columns) - {"text"} <= set(out.columns) and set(new) <= set(out.columns) and len(out.columns) == len(set(out.columns))
+        assert out.count() == docs.count() and out.where(~F.coalesce(*[F.col(f"`{c}`").eqNullSafe(F.col("doc_id").cast("string")) for c in left])).isEmpty()
