@@ -102,6 +102,8 @@ def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[pa.Array]
         for batch in batches:
             own = {f.name: c for f, c in zip(again, batch.columns[1:])}
             yield pa.RecordBatch.from_arrays([*(own.get(f.name, batch.column(0)) for f in kept), *make(batch.column(0))], [str(i) for i in range(len(kept) + len(new))])
+        # The worker may idle for long with what it held.
+        pa.default_memory_pool().release_unused()
 
     fields = [T.StructField(str(i), f.dataType, True) for i, f in enumerate([*kept, *new])]
     return rows.mapInArrow(run, T.StructType(fields)).toDF(*[f.name for f in [*kept, *new]])

@@ -9,13 +9,14 @@ blank only at its ends. Ties among n-grams go to smaller code points, ties among
 
 A null text, one without a letter, or any text when nothing was learned, gives `und` and score 0. Rows with a
 null language or text teach nothing. Repeated rows count each time. Extra columns aren't read; an empty table gives no profiles and no
-rows. A text is read whole, a few at a time: its n-grams take some fifty bytes a character.
+rows. A long text is read in parts cut at blanks, whose counts are added up.
 The languages' profiles (`profile` n-grams for each of at most `max_languages`) are all that reaches the driver.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices
 
 _BITS = 21
+_BLANK = re.compile(r"\s")
 
 
 @functools.cache
@@ -48,8 +50,32 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate([code[~blank], two, three])
 
 
-def profile_of(keys: np.ndarray, n: int) -> np.ndarray:
-    found, count = np.unique(keys, return_counts=True)
+def pieces(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """A text in parts of about that many characters, cut behind a blank: no n-gram holds one inside. A longer word stays whole."""
+    at = 0
+    while at < len(text):
+        to = at + size
+        if to < len(text):
+            blank = _BLANK.search(text, to)
+            to = blank.end() if blank else len(text)
+        yield text[at:to]
+        at = to
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text and how often each occurs, part by part."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in pieces(text):
+        found, n = np.unique(ngrams(part), return_counts=True)
+        if not len(keys):
+            keys, counts = found, n
+            continue
+        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    return keys, counts
+
+
+def profile_of(found: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     if len(found) > n:
         least = np.partition(count, len(count) - n)[len(count) - n]
         some = count >= least
@@ -90,8 +116,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
 
         for batch in (part for whole in batches for part in slices(whole, 1)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(keys := ngrams(text)):
-                    counts.setdefault(lang, _Counts()).add(keys)
+                for part in pieces(text):
+                    if len(keys := ngrams(part)):
+                        counts.setdefault(lang, _Counts()).add(keys)
             for lang in [x for x, c in counts.items() if len(c.keys) > 1 << 20]:
                 yield flush(lang)
         for lang in list(counts):
@@ -116,10 +143,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
     by_key = [(np.sort(profiles[n]), np.argsort(profiles[n], kind="stable")) for n in names]
 
     def one(text: str | None) -> tuple[str, float]:
-        keys = ngrams(text) if text else np.zeros(0)
+        keys, count = counted(text) if text else (np.zeros(0), None)
         if not len(keys) or not names:
             return "und", 0.0
-        own = profile_of(keys, profile)
+        own = profile_of(keys, count, profile)
         rank, far = np.arange(len(own)), []
         for ordered, place in by_key:
             at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)

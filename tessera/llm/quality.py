@@ -13,7 +13,8 @@ machine. The noise depends on the id, the text and the seed only, so reruns agre
 
 A null or empty text has no weight and is never drawn. Equal keys at the border are all kept, so repeated rows, which
 get equal keys, stay or go together. Without labelled good documents every weight is 0 and all documents are drawn unless a share is given; an empty
-table gives an empty one. Long texts are read whole, one at a time. Extra columns stay, whatever their names; log_weight, gumbel_key and kept are replaced.
+table gives an empty one. Long texts are read whole, one at a time. Extra columns stay, whatever their names; log_weight, gumbel_key and kept are replaced
+at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, each_as_bytes, map_text, materialize, quoted, slices, unwrapped
+from tessera.llm.common import as_bytes, each_as_bytes, map_text, materialize, quoted, slices
 
 _ORDERS = (1, 3, 5)
 _MIX = np.uint32(0x9E3779B1)  # golden-ratio multiplier of multiplicative hashing
@@ -49,6 +50,12 @@ def hashed(text: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return context, (h >> shift).astype(np.int32)
 
 
+def blocks(text: bytes, n: int, bits: int, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`hashed` of a text by blocks, so that a long one needs no long arrays: each block overlaps the next by n-1 bytes."""
+    for at in range(0, max(1, len(text) - n + 1), size):
+        yield hashed(text[at : at + size + n - 1], n, bits)
+
+
 def bucket_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
     """Counts by order, context or n-gram, and bucket: a table of bounded size whatever the input."""
     size = 1 << bits
@@ -56,25 +63,26 @@ def bucket_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(_ORDERS), 2, size), dtype=np.int64)
         waiting: list[list[list[np.ndarray]]] = [[[], []] for _ in _ORDERS]
-        held = 0
+        held = np.zeros(len(_ORDERS), dtype=np.int64)
 
-        def add() -> None:
-            for k in range(len(_ORDERS)):
-                for j in range(2):
-                    if waiting[k][j]:
-                        counts[k, j] += np.bincount(np.concatenate(waiting[k][j]), minlength=size)
-                        waiting[k][j].clear()
+        def add(k: int) -> None:
+            for j in range(2):
+                if waiting[k][j]:
+                    counts[k, j] += np.bincount(np.concatenate(waiting[k][j]), minlength=size)
+                    waiting[k][j].clear()
+            held[k] = 0
 
         for batch in (part for whole in batches for part in slices(whole, 0)):
             for text in as_bytes(batch.column(0)):
-                held += len(text)
                 for k, n in enumerate(_ORDERS):
-                    for j, b in enumerate(hashed(text, n, bits)):
-                        waiting[k][j].append(b)
-                if held > 1 << 20:
-                    add()
-                    held = 0
-        add()
+                    for both in blocks(text, n, bits):
+                        for j, b in enumerate(both):
+                            waiting[k][j].append(b)
+                        held[k] += len(both[0])
+                        if held[k] > 1 << 20:
+                            add(k)
+        for k in range(len(_ORDERS)):
+            add(k)
         flat = counts.ravel()
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["bucket", "n"])
@@ -103,15 +111,14 @@ class Ratio:
     def __call__(self, text: bytes) -> float:
         total = 0.0
         for k, n in enumerate(_ORDERS):
-            context, gram = hashed(text, n, self.bits)
-            if len(gram):
+            for context, gram in blocks(text, n, self.bits):
                 total += float((np.log(self.share[k][gram] * self.raw[k][context] + np.float32(self.smoothing)) - self.known[k][context]).sum(dtype=np.float64))
         return total
 
 
-def with_log_weight(docs: DataFrame, ratio: Ratio, text_col: str) -> DataFrame:
+def with_log_weight(docs: DataFrame, ratio: Ratio, text_col: str, keep_text: bool = True) -> DataFrame:
     """docs with the column log_weight; NULL for a null or empty text."""
-    return map_text(docs, text_col, "log_weight double", lambda texts: [pa.array([ratio(t) if t else None for t in each_as_bytes(texts)], pa.float64())])
+    return map_text(docs, text_col, "log_weight double", lambda texts: [pa.array([ratio(t) if t else None for t in each_as_bytes(texts)], pa.float64())], keep_text)
 
 
 def _labelled(labels: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -158,12 +165,13 @@ def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float:
 
 
 def _draw(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str, text_col: str, k: int | None, share: float | None, seed: int, keep_text: bool, **settings) -> DataFrame:
-    """(row, log_weight, gumbel_key, kept); texts are scored once, into a table in the shared folder."""
+    """(row, text, log_weight, gumbel_key, kept), row without the text; texts are scored once, into a table in the shared folder."""
     ratio = fit(docs, good, id_col, text_col, **settings)
-    fields = [F.col(quoted(c)) for c in docs.columns if keep_text or c != text_col]
+    fields = [F.col(quoted(c)) for c in docs.columns if c != text_col]
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = docs.select(F.struct(*fields).alias("row"), F.col(quoted(text_col)).alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
-    scored = with_log_weight(rows, ratio, "text").select("row", "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key"))
+    scored = with_log_weight(rows, ratio, "text", keep_text)
+    scored = scored.select("row", *["text"] * keep_text, "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key"))
     scored = materialize(scored)
     keys = scored.select(F.col("gumbel_key").alias("v")).where("v IS NOT NULL")
     if k is None:
@@ -171,10 +179,16 @@ def _draw(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str, text_co
     return scored.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(kth_largest(keys, k)), F.lit(False)))
 
 
+def _columns(made: DataFrame, docs: DataFrame, text_col: str, *added: str) -> DataFrame:
+    """The columns of docs in their order, and those added, from what `_draw` gives."""
+    own = [F.col("text").alias(c) if c == text_col else F.col(f"row.{quoted(c)}") for c in docs.columns if c not in added and (c != text_col or "text" in made.columns)]
+    return made.select(*own, *added)
+
+
 def resample(docs: DataFrame, good: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, share: float | None = None, seed: int = 42, keep_text: bool = True, **settings) -> DataFrame:
     """docs with the columns log_weight, gumbel_key and kept added. `good` and `bad` hold labelled ids; the bad ones only tell the share."""
     made = _draw(docs, good, bad, id_col, text_col, k, share, seed, keep_text, **settings)
-    return unwrapped(made, **{c: F.col(c) for c in ("log_weight", "gumbel_key", "kept")})
+    return _columns(made, docs, text_col, "log_weight", "gumbel_key", "kept")
 
 
 def by_labels(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -184,7 +198,7 @@ def by_labels(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 def drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are drawn, with their own columns."""
     made = _draw(docs, labels.where("quality = 1"), labels.where("quality = 0"), "doc_id", "text", None, None, 42, True)
-    return unwrapped(made.where("kept").select("row"))
+    return _columns(made.where("kept"), docs, "text")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

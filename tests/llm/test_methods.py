@@ -419,3 +419,17 @@ def test_codes_of_any_dimension(spark, dim):
         far[i] = np.inf
         hits += len(set(np.argsort(far)[:10].tolist()) & {r.vec_id for r in got if r.query_id == i})
     assert hits >= 36
+
+
+def test_long_texts_by_blocks():
+    rng = random.Random(1)
+    text = words(rng, 60_000)
+    for n in (1, 3, 5):
+        whole = quality.hashed(text.encode(), n, 18)
+        parts = list(quality.blocks(text.encode(), n, 18))
+        assert len(parts) > 3 and all(np.array_equal(w, np.concatenate(p)) for w, p in zip(whole, zip(*parts)))
+    assert "".join(language_id.pieces(text, 1000)) == text and max(map(len, language_id.pieces(text, 1000))) < 1010
+    keys, counts = language_id.counted(text)
+    found, want = np.unique(language_id.ngrams(text), return_counts=True)
+    assert np.array_equal(keys, found) and np.array_equal(counts, want)
+    assert list(language_id.pieces("x" * 5000, 1000)) == ["x" * 5000] and list(language_id.pieces("")) == []
