@@ -105,7 +105,7 @@ def dml_merge(spark, sf_dir):
     return c.find({}, projection={"_id": 1, "c_acctbal": 1, "c_name": 1})
 
 
-@query(f"WITH {_PEOPLE} SELECT 'first' AS at, sum(CAST(c_acctbal * 100 AS BIGINT)) AS cents, count(*) AS n FROM p UNION ALL SELECT 'second', 0, count(*) FROM p UNION ALL SELECT 'last', 0, count(*) FILTER (_id % 3 <> 0) FROM p")
+@query(f"WITH {_PEOPLE} SELECT 'first' AS at, CAST(sum(CAST(c_acctbal * 100 AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM p UNION ALL SELECT 'second', 0, count(*) FROM p UNION ALL SELECT 'last', 0, count(*) FILTER (_id % 3 <> 0) FROM p")
 def dml_time_travel(spark, sf_dir):
     c = _stored(spark, sf_dir)
     c.update({}, {"$set": {"c_acctbal": 0.0}})

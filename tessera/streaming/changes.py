@@ -30,7 +30,8 @@ def watch(spark: SparkSession, path: str, schema: T.StructType, query: dict | No
 
 def update_descriptions(rows: DataFrame, key: str = "_id", seq: str = "_seq", op: str = "_op", payload: list[str] | None = None) -> DataFrame:
     """For each change of a streaming log, which fields were updated and which were removed since the key's previous
-    row. The previous row is keyed state, so a change may come in a later batch than the one before."""
+    row. The previous row is keyed state, so a change may come in a later batch than the one before. All of a key's changes within one micro-batch are sorted
+    in a task's memory: where one key may hold much of a batch, use `describe_batches`."""
     payload = payload or [c for c in rows.columns if c not in (key, seq, op)]
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     state_schema = T.StructType([T.StructField("there", T.BooleanType()), *[T.StructField(c, kinds[c]) for c in payload]])
