@@ -87,8 +87,9 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = 500, size: int = 1 << 2
         at = to
 
 
-def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True) -> DataFrame:
-    """df with columns made from its text, which goes to `make` a batch at a time. An added column replaces one of the same name."""
+def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True, done: Callable[[], None] | None = None) -> DataFrame:
+    """df with columns made from its text, which goes to `make` a part of a batch at a time, so that what a task makes of it stays
+    small; `done` is called at the end of a partition. An added column replaces one of the same name."""
     new = T._parse_datatype_string(added).fields
     names = {f.name for f in new}
     text = F.col(quoted(text_col)).cast("string")
@@ -99,9 +100,11 @@ def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[pa.Array]
     rows = df.select(text.alias("0"), *[F.col(quoted(f.name)).alias(str(i)) for i, f in enumerate(again, 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, rows=2000)):
             own = {f.name: c for f, c in zip(again, batch.columns[1:])}
             yield pa.RecordBatch.from_arrays([*(own.get(f.name, batch.column(0)) for f in kept), *make(batch.column(0))], [str(i) for i in range(len(kept) + len(new))])
+        if done:
+            done()
         # The worker may idle for long with what it held.
         pa.default_memory_pool().release_unused()
 

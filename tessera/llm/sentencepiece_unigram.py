@@ -225,7 +225,7 @@ class DoubleArray:
 class Unigram:
     """Encoder and decoder of one vocabulary; sent to the tasks whole (a vocabulary's size is bounded)."""
 
-    def __init__(self, data: bytes, remember: int = 200_000) -> None:
+    def __init__(self, data: bytes, remember: int = 100_000) -> None:
         pieces, kind, self.normal = read_model(data)
         self.pieces, self.remember = pieces, remember
         scores = np.array([s for _, s, _ in pieces], dtype=np.float64)
@@ -361,12 +361,11 @@ def tokenize(docs: DataFrame, model: Unigram, text_col: str = "text") -> DataFra
                 sizes.append(len(ids))
                 falls.append(int(is_byte[ids].sum()))
                 same.append(m.decode(ids) == (m.normal(text) if text else ""))
-        m.forget()
         flat = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), pa.int32())
         ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
         return [ids, pa.array(sizes, pa.int32()), pa.array(falls, pa.int32()), pa.array(same, pa.bool_())]
 
-    return map_text(docs, text_col, "ids array<int>, n_tokens int, n_bytes int, decoded_ok boolean", run, keep_text=False)
+    return map_text(docs, text_col, "ids array<int>, n_tokens int, n_bytes int, decoded_ok boolean", run, keep_text=False, done=lambda: shared.value.forget())
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
