@@ -22,8 +22,8 @@ WIDENINGS = {
 
 def profile(df: DataFrame, column: str, max_depth: int = 10, exclude: list[str] | None = None) -> DataFrame:
     """(path, count, frequency, dominant, dominant_share, nulls, types) of the fields of JSON texts or VARIANTs, nested ones by
-    dotted path. Documents are parsed once, into a table; a level of nesting is one pass of `variant_explode` over the objects of the level
-    above, and is written as such. Documents are never gathered."""
+    dotted path. A level of nesting is one pass of `variant_explode` over the objects of the level above, which are written before they are
+    opened, so no level is parsed for those below it. Documents are never gathered."""
     import fnmatch
 
     spark = df.sparkSession
