@@ -20,7 +20,6 @@ than the id and the text are not read. Texts are read whole, a few at a time.
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -161,9 +160,47 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
         yield from slices(batch, column)
 
 
-def _bigrams(docs: DataFrame, text_col: str, ids: _Ids) -> DataFrame:
-    """(a, b, n) of neighbours that both have an id, dealt by the first."""
-    other, shared = len(ids), docs.sparkSession.sparkContext.broadcast(ids)
+def _encoded(rows: DataFrame, ids: _Ids) -> DataFrame:
+    """rows (key, held_out, ..., text) with, in place of the text, the ids of its tokens as packed 32-bit numbers (the end's 0 last, `other` = len(ids)
+    for words outside) and those words, blank between them. Texts are cut into words once, and every later pass reads numbers."""
+    shared, kept = rows.sparkSession.sparkContext.broadcast(ids), [c for c in rows.columns if c != "text"]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = len(shared.value)
+        for batch in _parts(batches, len(kept)):
+            flat, lengths, tokens = _sequences(as_bytes(batch.column(len(kept))), shared.value)
+            ends = np.cumsum(lengths)
+            packed, own = flat.astype("<i4"), np.flatnonzero(flat == other)
+            cuts = np.searchsorted(own, np.r_[0, ends])
+            words, own = [tokens[i] for i in own.tolist()], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own.append(b" ".join(words[a:b]))
+            numbers = [packed[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(numbers, pa.binary()), pa.array(own, pa.binary())], [*kept, "ids", "words"])
+
+    return rows.select(*kept, "text").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "ids binary", "words binary"]))
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens of the batch's texts, and each text's number of tokens."""
+    column = batch.column(batch.schema.get_field_index("ids"))
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), "<i4").astype(np.int64), np.array([len(x) // 4 for x in blobs], dtype=np.int64)
+
+
+def _rare_words(batch: pa.RecordBatch) -> list[bytes]:
+    """The words outside the dictionary of all texts, in order."""
+    return [w for x in batch.column(batch.schema.get_field_index("words")).to_pylist() if x for w in x.split(b" ")]
+
+
+def _small(batches: Iterator[pa.RecordBatch], column: str = "ids") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, batch.schema.get_field_index(column), rows=2000)
+
+
+def _bigrams(encoded: DataFrame, some: int) -> DataFrame:
+    """(a, b, n) of neighbours whose ids are both under `some`, dealt by the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -171,13 +208,13 @@ def _bigrams(docs: DataFrame, text_col: str, ids: _Ids) -> DataFrame:
         def flush() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array((at // other).astype(np.int32)), pa.array((at % other).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((at // some).astype(np.int32)), pa.array((at % some).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
-        for batch in _parts(batches, 0):
-            flat, _, _ = _sequences(as_bytes(batch.column(0)), shared.value)
+        for batch in _small(batches):
+            flat, _ = _unpacked(batch)
             before = np.r_[0, flat[:-1]]
-            both = (before < other) & (flat < other)
-            waiting.append(before[both] * other + flat[both])
+            both = (before < some) & (flat < some)
+            waiting.append(before[both] * some + flat[both])
             held += len(flat)
             if held > 1 << 23:
                 yield flush()
@@ -185,7 +222,7 @@ def _bigrams(docs: DataFrame, text_col: str, ids: _Ids) -> DataFrame:
         if waiting:
             yield flush()
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a int, b int, n long")
+    found = encoded.select("ids").mapInArrow(run, "a int, b int, n long")
     # Added up by both words first: a common word's rows from all tasks would be too many for one.
     return found.groupBy("a", "b").agg(F.sum("n").alias("n")).repartition("a")
 
@@ -271,11 +308,10 @@ def _exchange_all(pairs: tuple[DataFrame, DataFrame], label: np.ndarray, total:
     return best[1], best[2]
 
 
-def _outside(docs: DataFrame, text_col: str, ids: _Ids, label: np.ndarray, total: int) -> DataFrame:
+def _outside(encoded: DataFrame, other: int, label: np.ndarray, total: int) -> DataFrame:
     """(id, word, before, after, n) of the words without a class yet: the id of those in the dictionary, the word itself of others; and the classes
     on both sides, or -1."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-    exchanged, other = len(label), len(ids)
+    exchanged = len(label)
     classes = np.r_[label, np.full(other + 1 - exchanged, -1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,14 +334,14 @@ def _outside(docs: DataFrame, text_col: str, ids: _Ids, label: np.ndarray, total
             width = (total + 1) ** 2
             return pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), empty(len(keys), pa.binary()), *of(keys % width), pa.array(n)], ["id", "word", "before", "after", "n"])
 
-        for batch in _parts(batches, 0):
-            flat, _, tokens = _sequences(as_bytes(batch.column(0)), shared.value)
+        for batch in _small(batches):
+            flat, _ = _unpacked(batch)
             cls = classes[flat]
             at = np.flatnonzero(flat >= exchanged)
             before = np.where(at > 0, cls[at - 1], label[0])
             around = (before + 1) * (total + 1) + cls[np.minimum(at + 1, len(cls) - 1)] + 1
             rare = flat[at] == other
-            seen.update(zip([tokens[i] for i in at[rare].tolist()], around[rare].tolist()))
+            seen.update(zip(_rare_words(batch), around[rare].tolist()))
             waiting.append(flat[at[~rare]] * (total + 1) ** 2 + around[~rare])
             held += len(waiting[-1])
             if len(seen) > 2 * _FLUSH:
@@ -318,7 +354,7 @@ def _outside(docs: DataFrame, text_col: str, ids: _Ids, label: np.ndarray, total
         if waiting:
             yield flush_ids()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "id int, word binary, before int, after int, n long")
+    return encoded.select("ids", "words").mapInArrow(run, "id int, word binary, before int, after int, n long")
 
 
 def _ids_by_neighbours(outside: DataFrame, first: int, last: int, total: int, between: np.ndarray) -> np.ndarray:
@@ -375,22 +411,29 @@ def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
     return found.sort_by([("n", "descending"), ("word", "ascending")])
 
 
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.col(quoted(text_col))
+    return docs.select(F.xxhash64(text).alias("key"), F.lit(False).alias("held_out"), text.cast("string").alias("text"))
+
+
 def train(counts: DataFrame, docs: DataFrame, text_col: str, **settings) -> Model:
     """The model with a class for each dictionary word; its transitions are those of the exchanged words yet."""
-    return _train(counts, docs, text_col, **settings)[0]
+    return _train(counts, _rows(docs, text_col), **settings)[0]
 
 
-def _train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 2048, exchanged: int = 20_000, dictionary: int = 400_000, classes: int = 64, smoothing: float = 20.0, sweeps: int = 3, least: float = 1e-3) -> tuple[Model, DataFrame]:
-    """The same, and the table of `_outside`."""
+def _train(counts: DataFrame, rows: DataFrame, clustered: int = 2048, exchanged: int = 20_000, dictionary: int = 400_000, classes: int = 64, smoothing: float = 20.0, sweeps: int = 3, least: float = 1e-3) -> tuple[Model, DataFrame, DataFrame]:
+    """The same, the table of `_outside`, and all rows encoded; those not held out train."""
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = _most_frequent(counts, dictionary)
     ends = counts.where(F.length("word") == 0).collect()
     ids = _Ids({_END: 0} | {w: i for i, w in enumerate(top["word"].to_pylist(), 1)})
     n = np.r_[float(ends[0].n if ends else 0), top["n"].to_numpy().astype(np.float64)]
-    some = _Ids(itertools.islice(ids.items(), exchanged + 1))
+    some = range(min(len(ids), exchanged + 1))  # the ids of the words that are exchanged, and the end's
     first, used = min(clustered, len(ids) - 1), min(classes, max(1, min(clustered, len(ids) - 1)))
     total = used + 2
-    by_first = materialize(_bigrams(docs, text_col, some))
+    encoded = materialize(_encoded(rows, ids))
+    training = encoded.where("NOT held_out")
+    by_first = materialize(_bigrams(training, len(some)))
     by_second = materialize(by_first.repartition("b"))
     bigrams = np.zeros((first + 1, first + 1))
     near = by_first.where((F.col("a") <= first) & (F.col("b") <= first)).toArrow()
@@ -399,11 +442,11 @@ def _train(counts: DataFrame, docs: DataFrame, text_col: str, clustered: int = 2
     fixed[0] = used
     label = np.r_[exchange(bigrams, fixed, used), np.full(len(some) - first - 1, -1)]
     label, between = _exchange_all((by_first, by_second), label, total, sweeps, least)
-    outside = materialize(_outside(docs, text_col, ids, label, total))
+    outside = materialize(_outside(training, len(ids), label, total))
     if len(some) < len(ids):
         label = np.r_[label, _ids_by_neighbours(outside, len(some), len(ids) - 1, total, between)]
     model = Model(ids, n, np.r_[label, total - 1], between, np.zeros(len(ids) + 1), int(tokens), int(types), len(some) - 1, between)
-    return _estimated(model, between, np.bincount(label, n, total), smoothing), outside.where("word IS NOT NULL")
+    return _estimated(model, between, np.bincount(label, n, total), smoothing), outside.where("word IS NOT NULL"), encoded
 
 
 def _estimated(model: Model, between: np.ndarray, size: np.ndarray, smoothing: float) -> Model:
@@ -420,46 +463,45 @@ def _estimated(model: Model, between: np.ndarray, size: np.ndarray, smoothing: f
     return replace(model, step=np.log10(chance), emit=emit, between=between)
 
 
-def _places(rows: DataFrame, model: Model) -> DataFrame:
-    """One pass over rows (key, text, held_out): class bigrams of neighbours in the dictionary in training texts (cell, n); each place of
+def _places(encoded: DataFrame, model: Model) -> DataFrame:
+    """One pass over encoded rows: class bigrams of neighbours in the dictionary in training texts (cell, n); each place of
     a word outside it, with the classes on both sides or -1 (key, held_out, word, before, after); and pairs of two such words (the first is `other`)."""
-    shared, total = rows.sparkSession.sparkContext.broadcast(model), model.total
+    label, other, total = model.label, len(model.ids), model.total
     schema = "key long, held_out boolean, word binary, other binary, before int, after int, cell long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cells = shared.value, np.zeros(total * total, dtype=np.int64)
-        other = len(m.ids)
+        cells = np.zeros(total * total, dtype=np.int64)
         names = [c.split(" ")[0] for c in schema.split(", ")]
         none = lambda k, t: pa.nulls(k, t)
 
         def of(batch: pa.RecordBatch, own: np.ndarray, words: list, others: list | None, before=None, after=None) -> pa.RecordBatch:
             k, at = len(words), pa.array(own)
             side = lambda x: none(k, pa.int32()) if x is None else pa.array(x.astype(np.int32))
-            made = [batch.column(0).take(at), batch.column(2).take(at), pa.array(words, pa.binary()), none(k, pa.binary()) if others is None else pa.array(others, pa.binary()), side(before), side(after), none(k, pa.int64()), none(k, pa.int64())]
+            made = [batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary()), none(k, pa.binary()) if others is None else pa.array(others, pa.binary()), side(before), side(after), none(k, pa.int64()), none(k, pa.int64())]
             return pa.RecordBatch.from_arrays(made, names)
 
-        for batch in _parts(batches, 1):
-            flat, lengths, tokens = _sequences(as_bytes(batch.column(1)), m.ids)
-            cls = m.label[flat]
+        for batch in _small(batches):
+            flat, lengths = _unpacked(batch)
+            cls = label[flat]
             rare = flat == other
             cls[rare] = -1
-            before = np.r_[m.label[0], cls[:-1]]
-            train = np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), lengths)
+            before = np.r_[label[0], cls[:-1]]
+            train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False), lengths)
             both = train & (cls >= 0) & (before >= 0)
             cells += np.bincount(before[both] * total + cls[both], minlength=total * total)
             at = np.flatnonzero(rare)
             if len(at):
-                own = np.repeat(np.arange(len(lengths)), lengths)
+                words, own = _rare_words(batch), np.repeat(np.arange(len(lengths)), lengths)
                 # A text ends with the end token, so a place after a word is in the same text.
-                yield of(batch, own[at], [tokens[i] for i in at.tolist()], None, before[at], cls[at + 1])
-                two = at[1:][np.diff(at) == 1]
-                yield of(batch, own[two], [tokens[i] for i in two.tolist()], [tokens[i - 1] for i in two.tolist()])
+                yield of(batch, own[at], words, None, before[at], cls[at + 1])
+                two = np.flatnonzero(np.diff(at) == 1) + 1
+                yield of(batch, own[at[two]], [words[i] for i in two.tolist()], [words[i - 1] for i in two.tolist()])
         at = np.flatnonzero(cells)
         k = len(at)
         made = [none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.int32()), none(k, pa.int32()), pa.array(at), pa.array(cells[at])]
         yield pa.RecordBatch.from_arrays(made, names)
 
-    return rows.select("key", "text", "held_out").mapInArrow(run, schema)
+    return encoded.select("key", "held_out", "ids", "words").mapInArrow(run, schema)
 
 
 def _looked_up(places: DataFrame, table: DataFrame, total: int) -> DataFrame:
@@ -475,11 +517,11 @@ def _looked_up(places: DataFrame, table: DataFrame, total: int) -> DataFrame:
     return alone.unionByName(twice)
 
 
-def _complete(model: Model, counts: DataFrame, outside: DataFrame, rows: DataFrame, smoothing: float) -> tuple[Model, DataFrame, DataFrame, np.ndarray]:
+def _complete(model: Model, counts: DataFrame, outside: DataFrame, encoded: DataFrame, smoothing: float) -> tuple[Model, DataFrame, DataFrame, np.ndarray]:
     """The model over all bigrams, (word, n, label) of the words outside the dictionary, what `_looked_up` gives, and the classes' sizes."""
     total = model.total
     table = materialize(counts.join(_by_neighbours(outside, total, model.between), "word"))
-    places = materialize(_places(rows, model))
+    places = materialize(_places(encoded, model))
     found = materialize(_looked_up(places, table, total))
     between = np.zeros((total, total))
     for x in places.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():
@@ -499,9 +541,9 @@ def _complete(model: Model, counts: DataFrame, outside: DataFrame, rows: DataFra
 def spread(model: Model, counts: DataFrame, docs: DataFrame, text_col: str, smoothing: float = 20.0) -> tuple[Model, DataFrame]:
     """The model with every training word in a class, and (word, n, label, emit) of the words outside the dictionary.
     A word never seen in training has a class of its own."""
-    rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held_out"))
-    outside = materialize(_outside(docs, text_col, model.ids, model.label[: model.exchanged + 1], model.total)).where("word IS NOT NULL")
-    model, table, _, size = _complete(model, counts, outside, rows, smoothing)
+    encoded = materialize(_encoded(_rows(docs, text_col), model.ids))
+    outside = materialize(_outside(encoded, len(model.ids), model.label[: model.exchanged + 1], model.total)).where("word IS NOT NULL")
+    model, table, _, size = _complete(model, counts, outside, encoded, smoothing)
     return model, table.withColumn("emit", F.log10(F.col("n") / F.get(F.array(*map(F.lit, size.tolist())), F.col("label"))))
 
 
@@ -509,37 +551,36 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of
     docs; the rows where `trains` holds are learned from. Scores are log10 probabilities."""
     text = F.col(quoted(text_col))
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(id_col)), text).alias("key"), text.cast("string").alias("text"), (~F.coalesce(trains, F.lit(True))).alias("held_out"))
-    training = rows.where("NOT held_out")
-    counts = materialize(count_tokens(training, "text"))
-    model, outside = _train(counts, training, "text", smoothing=smoothing, **settings)
-    model, _, found, size = _complete(model, counts, outside, rows, smoothing)
-    shared, total = docs.sparkSession.sparkContext.broadcast(model), model.total
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(id_col)), text).alias("key"), (~F.coalesce(trains, F.lit(True))).alias("held_out"), text.cast("string").alias("text"))
+    counts = materialize(count_tokens(rows.where("NOT held_out"), "text"))
+    model, outside, encoded = _train(counts, rows, smoothing=smoothing, **settings)
+    model, _, found, size = _complete(model, counts, outside, encoded, smoothing)
+    total, other = model.total, len(model.ids)
+    base, known = np.r_[np.log10(model.n + 0.5), 0.0], np.r_[model.n > 0, False].astype(np.int64)
+    label, emit, step = model.label, model.emit, model.step
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        base, known = np.r_[np.log10(m.n + 0.5), 0.0], np.r_[m.n > 0, False]
-        for batch in _parts(batches, 2):
-            flat, lengths, _ = _sequences(as_bytes(batch.column(2)), m.ids)
+        for batch in _small(batches):
+            flat, lengths = _unpacked(batch)
             at = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
-            cls = m.label[flat]
-            before = np.r_[m.label[0], cls[:-1]]
+            cls = label[flat]
+            before = np.r_[label[0], cls[:-1]]
             add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]
-            rare = flat == len(m.ids)
+            rare = flat == other
             # Steps to and from a word outside the dictionary come from its look-up.
             plain = ~(rare | np.r_[False, rare[:-1]])
-            cols = [lengths, add(known[flat].astype(np.int64)), add(rare.astype(np.int64)), add(base[flat]), add(np.where(rare, 0.0, m.emit[flat]) + np.where(plain, m.step[before, cls], 0.0))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, cols)], ["id", "key", "held_out", "n_tokens", "n_known", "n_rare", "base", "own"])
+            cols = [lengths, add(known[flat]), add(rare.astype(np.int64)), add(base[flat]), add(np.where(rare, 0.0, emit[flat]) + np.where(plain, step[before, cls], 0.0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, cols)], ["id", "key", "held_out", "n_tokens", "n_known", "n_rare", "base", "own"])
 
     kind = dict(rows.dtypes)["id"]
-    summary = rows.mapInArrow(whole, f"id {kind}, key long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, own double")
+    summary = encoded.select("id", "key", "held_out", "ids").mapInArrow(whole, f"id {kind}, key long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, own double")
     steps, width = F.lit(model.step.ravel().tolist()), F.lit(total)
-    step = lambda a, b: F.when((a >= 0) & (b >= 0), F.get(steps, a * width + b)).otherwise(0.0)
-    before, label, after, n = F.col("before"), F.col("label"), F.col("after"), F.col("n")
-    emit = F.when(n > 0, F.log10(n / F.get(F.lit(size.tolist()), label))).otherwise(0.0)
+    step_of = lambda a, b: F.when((a >= 0) & (b >= 0), F.get(steps, a * width + b)).otherwise(0.0)
+    before, cls, after, n = F.col("before"), F.col("label"), F.col("after"), F.col("n")
+    rare_emit = F.when(n > 0, F.log10(n / F.get(F.lit(size.tolist()), cls))).otherwise(0.0)
     rare = found.select(
         "key", n.isNotNull().cast("int").alias("r_tokens"), F.coalesce((n > 0).cast("int"), F.lit(0)).alias("r_known"),
-        F.coalesce(F.log10(n + 0.5), F.lit(0.0)).alias("r_log"), (F.coalesce(emit, F.lit(0.0)) + step(before, label) + step(label, after)).alias("r_own"),
+        F.coalesce(F.log10(n + 0.5), F.lit(0.0)).alias("r_log"), (F.coalesce(rare_emit, F.lit(0.0)) + step_of(before, cls) + step_of(cls, after)).alias("r_own"),
     )
     # Rows with the same id and text have the same words: they are summed together and shared evenly below.
     rare = rare.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("r_known", "r_tokens", "r_log", "r_own")])
